@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.byte_bpe import encode_decode
 from tessera.llm.common import table
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.line_dedup import line_dedup
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -46,5 +53,5 @@ best AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM best
 """
 
-QUERIES = {"op7_line_dedup": op7_line_dedup, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op3_byte_bpe": op3_byte_bpe, "op7_line_dedup": op7_line_dedup, "op10_exact_dedup": op10_exact_dedup}
 ORACLES = {"op7_line_dedup": OP7_SQL, "op10_exact_dedup": OP10_SQL}
