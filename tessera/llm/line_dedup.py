@@ -78,8 +78,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id_type = rows.schema["_id"].dataType.simpleString()
     pairs = cut(rows.mapInPandas(_exploded(min_chars), f"_hash binary, _id {id_type}"))
     common = pairs.groupBy("_hash").agg(F.count("*").alias("_n"), F.max("_id").alias("_last")).filter(F.col("_n") >= min_docs)
+    # written, so that the join reads two exchanges and a hash that many documents hold can be split among tasks
     drops = (
-        pairs.join(common.drop("_n"), "_hash")
+        pairs.join(cut(common.drop("_n")), "_hash")
         .filter(~F.col("_id").eqNullSafe(F.col("_last")))
         .groupBy(F.col("_id").alias("_of"))
         .agg(F.collect_set("_hash").alias("_drop"))
