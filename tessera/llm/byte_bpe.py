@@ -85,7 +85,10 @@ class ByteBpe:
             place += len(token)
 
     def _miss(self, piece: str) -> bytes:
-        found = np.array(merge_pairs(piece.encode("utf-8", "surrogatepass"), self.ranks), "<u4").tobytes()
+        return self._keep(piece, merge_pairs(piece.encode("utf-8", "surrogatepass"), self.ranks))
+
+    def _keep(self, piece: str, ids: list[int]) -> bytes:
+        found = np.array(ids, "<u4").tobytes()
         if len(piece) <= CACHE_CHARS:
             if len(self.cache) >= CACHE_ROWS:
                 self.cache.clear()

@@ -10,6 +10,7 @@ from tessera.llm.byte_bpe import encode_decode
 from tessera.llm.common import table
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.line_dedup import line_dedup
+from tessera.llm.packing import pack_documents
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,10 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -53,5 +58,5 @@ best AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM best
 """
 
-QUERIES = {"op3_byte_bpe": op3_byte_bpe, "op7_line_dedup": op7_line_dedup, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op3_byte_bpe": op3_byte_bpe, "op7_line_dedup": op7_line_dedup, "op9_best_fit_packing": op9_best_fit_packing, "op10_exact_dedup": op10_exact_dedup}
 ORACLES = {"op7_line_dedup": OP7_SQL, "op10_exact_dedup": OP10_SQL}
