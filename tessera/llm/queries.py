@@ -10,6 +10,7 @@ from tessera.llm.byte_bpe import encode_decode
 from tessera.llm.common import table
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.line_dedup import line_dedup
+from tessera.llm.minhash_dedup import near_duplicates
 from tessera.llm.packing import pack_documents
 
 
@@ -40,6 +41,31 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+shingles AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) < 2 THEN w
+         ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM shingles a JOIN shingles b USING (s)
+  WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * both >= 80 * (x.n + y.n - both)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM least LEFT JOIN sizes USING (doc_id)
+"""
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
 
@@ -58,5 +84,5 @@ best AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM best
 """
 
-QUERIES = {"op3_byte_bpe": op3_byte_bpe, "op7_line_dedup": op7_line_dedup, "op9_best_fit_packing": op9_best_fit_packing, "op10_exact_dedup": op10_exact_dedup}
-ORACLES = {"op7_line_dedup": OP7_SQL, "op10_exact_dedup": OP10_SQL}
+QUERIES = {"op3_byte_bpe": op3_byte_bpe, "op7_line_dedup": op7_line_dedup, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op9_best_fit_packing": op9_best_fit_packing, "op10_exact_dedup": op10_exact_dedup}
+ORACLES = {"op7_line_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL}
