@@ -54,19 +54,19 @@ def _reassembled(min_chars: int):
                 texts.append(text)
                 lines.append(len(parts))
                 dropped.append(len(parts) - len(stay))
-            yield pd.DataFrame({"_id": pdf["_id"], "_text": texts, "n_lines": lines, "n_dropped": dropped})
+            yield pdf.drop(columns="_drop").assign(_text=texts, n_lines=lines, n_dropped=dropped)
 
     return run
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_chars: int = 20) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_chars: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """Drop lines that many documents share.
 
     Texts are split at \\n. A line's key is the line without U+0020 and U+0009..U+000D at both ends and with A-Z
     lowered. A key of at least `min_chars` code points that at least `min_docs` documents hold loses all its lines,
     except in the largest id that holds it; the other lines stay, joined by \\n.
 
-    Returns one row per input row: id_col, text_col (what stays), n_lines (before), n_dropped. A null text is the empty
+    Returns one row per input row: id_col, text_col (what stays), n_lines (before), n_dropped, and the columns in `carry`. A null text is the empty
     text, and an empty text is one empty line. A line that repeats inside a document counts once for it. Each
     row counts as a document, rows that repeat an id too. A null id is never the largest one while another holds the
     key. Keys are compared by a 128-bit hash. An empty table gives no rows; other columns are ignored.
@@ -74,9 +74,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Scale: only (hash, id) pairs and the keys over the threshold are shuffled besides one exchange of the texts by id;
     counts are combined before the exchange, so a line in a third of all documents makes no large task.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
     id_type = rows.schema["_id"].dataType.simpleString()
-    pairs = cut(rows.mapInPandas(_exploded(min_chars), f"_hash binary, _id {id_type}"))
+    pairs = cut(rows.select("_id", "_text").mapInPandas(_exploded(min_chars), f"_hash binary, _id {id_type}"))
     common = pairs.groupBy("_hash").agg(F.count("*").alias("_n"), F.max("_id").alias("_last")).filter(F.col("_n") >= min_docs)
     # written, so that the join reads two exchanges and a hash that many documents hold can be split among tasks
     drops = (
@@ -87,7 +87,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     return (
         rows.join(drops, F.col("_id").eqNullSafe(F.col("_of")), "left")
-        .select("_id", "_text", "_drop")
-        .mapInPandas(_reassembled(min_chars), f"_id {id_type}, _text string, n_lines long, n_dropped long")
-        .withColumnsRenamed({"_id": id_col, "_text": text_col})
+        .select(*rows.columns, "_drop")
+        .mapInPandas(_reassembled(min_chars), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", n_lines long, n_dropped long")
+        .withColumnsRenamed({"_id": id_col, "_text": text_col} | {f"_c{i}": c for i, c in enumerate(carry)})
     )
