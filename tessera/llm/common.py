@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +30,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return set_dir
 
 
+#: After so many cuts the driver collects its garbage, which lets Spark delete shuffle and checkpoint files that nothing
+#: refers to any more. Operators that cut often would else hold all their files until the driver's heap is full.
+RELEASE_EVERY = 4
+_cuts = count(1)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from the files: a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if next(_cuts) % RELEASE_EVERY == 0:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def or_empty(column: str):

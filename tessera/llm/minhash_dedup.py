@@ -294,7 +294,8 @@ def confirm(groups: DataFrame, texts: DataFrame, percent: int, width: int) -> Da
     """(node, component) of the exact links inside each candidate group. groups: node, component; texts: _id, _text."""
     sizes = cut(groups.groupBy(F.struct("component").alias("_k")).agg(F.count("*").alias("_size")).select("_k.component", "_size"))
     members = groups.join(sizes, "component").select(F.col("node").alias("_id"), "component", "_size")
-    held = cut(members.join(texts, "_id").select("_id", "component", "_size", "_text"))
+    # texts are dealt by id whatever the number of members: a broadcast would only ever fit small inputs
+    held = cut(members.join(texts.hint("merge"), "_id").select("_id", "component", "_size", "_text"))
     chunks = F.ceil(F.col("_size") / BLOCK).cast("int")
     large = held.filter(F.col("_size") > SMALL)
     dealt = held.filter(F.col("_size") <= SMALL).select("_id", "_text", "component", F.lit(0).alias("_i"))
@@ -342,13 +343,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         usable.groupBy("_digest")
         .agg(F.min("_id").alias("_id"), *(F.first(c).alias(c) for c in ("_nodes", "_paths", "_sketch")))
     )
+    features = cut(features.select("_id", "_n", "_digest"))  # paths and sketches of the others aren't needed any more
+    del usable
     candidates = connected_components(candidate_edges(reps.drop("_digest"), least), "a", "b")
     found = confirm(candidates, rows, percent, width)
     roots = reps.select("_id", "_digest").join(found.withColumnsRenamed({"node": "_id", "component": "_root"}), "_id", "left")
     roots = cut(roots.select("_digest", F.coalesce("_root", "_id").alias("_root")))
     component = F.when((F.col("_n") > 0) & F.col("_id").isNotNull(), F.least(F.coalesce("_root", "_id"), "_id")).otherwise(F.col("_id"))
     return (
-        features.select("_id", "_n", "_digest")
-        .join(roots, "_digest", "left")
+        features.join(roots, "_digest", "left")
         .select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("_id")).alias("kept"))
     )
