@@ -1,0 +1,397 @@
+"""Correlation networks as tables: nodes(gene) and edges(gene_a, gene_b, weight, abs_weight) with gene_a < gene_b."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.durable import cut
+from tessera.operators.components import connected_components
+
+#: Rows of a block of the correlation matrix.
+BLOCK = 512
+#: Graphs of up to so many edges are broadcast to per-source searches; larger ones are searched by joins.
+LOCAL_EDGES = 2_000_000
+
+
+def vectors(expr: DataFrame) -> DataFrame:
+    """Long form to gene, values (sorted by sample, null where a sample of the table is missing)."""
+    samples = expr.select("sample").distinct()
+    grid = expr.select("gene").distinct().crossJoin(F.broadcast(samples))  # the matrix itself, dense
+    dense = grid.join(expr.select("gene", "sample", "value"), ["gene", "sample"], "left")
+    return dense.groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("sample", "value"))).alias("v")).select("gene", F.col("v.value").alias("values"))
+
+
+def _matrix(values: pd.Series) -> np.ndarray:
+    return np.array([[np.nan if x is None else x for x in v] for v in values], float)
+
+
+def _row_ranks(x: np.ndarray) -> np.ndarray:
+    """Average ranks inside each row; missing values stay missing."""
+    out = np.full_like(x, np.nan)
+    for i, row in enumerate(x):
+        good = np.isfinite(row)
+        _, back, count = np.unique(row[good], return_inverse=True, return_counts=True)
+        out[i, good] = (np.cumsum(count) - (count - 1) / 2)[back]
+    return out
+
+
+def zscores(x: np.ndarray) -> np.ndarray:
+    """Rows less their mean over their sample deviation (0 counts as 1); a missing value makes its row missing."""
+    sd = x.std(axis=1, ddof=1, keepdims=True)
+    return (x - x.mean(axis=1, keepdims=True)) / np.where(sd == 0, 1, sd)
+
+
+def _correlated(a: np.ndarray, b: np.ndarray, pairwise: bool) -> np.ndarray:
+    if not pairwise:
+        return zscores(a) @ zscores(b).T / (a.shape[1] - 1)
+    ma, mb = np.isfinite(a).astype(float), np.isfinite(b).astype(float)
+    xa, xb = np.where(ma > 0, a, 0), np.where(mb > 0, b, 0)
+    n = ma @ mb.T
+    sa, sb, qa, qb = xa @ mb.T, ma @ xb.T, (xa**2) @ mb.T, ma @ (xb**2).T
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (xa @ xb.T - sa * sb / n) / np.sqrt((qa - sa**2 / n) * (qb - sb**2 / n))
+
+
+def correlation_edges(genes: DataFrame, cutoff: float = 0.70, method: str = "pearson", nan_policy: str = "propagate", strict: bool = False, block: int = BLOCK) -> DataFrame:
+    """gene_a, gene_b, correlation of all pairs with |r| >= cutoff (> if strict), by products of blocks of rows.
+
+    genes: gene, values (arrays of one length). Each pair of blocks is one task; only edges leave it. With nan_policy
+    'propagate' a gene with a missing value has no edges; with 'pairwise' each pair uses the samples that both have.
+    """
+    n = genes.count()
+    blocks = max(1, -(-n // block))
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = key
+        pdf = pdf.sort_values("gene")
+        left, right = pdf[pdf["_b"] == low], pdf[pdf["_b"] == high]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"gene_a": [], "gene_b": [], "correlation": []})
+        a, b = _matrix(left["values"]), _matrix(right["values"])
+        if method == "spearman":
+            a, b = _row_ranks(a), _row_ranks(b)
+        r = _correlated(a, b, nan_policy == "pairwise")
+        with np.errstate(invalid="ignore"):
+            hit = np.abs(r) > cutoff if strict else np.abs(r) >= cutoff
+        if low == high:
+            hit &= np.triu(np.ones_like(hit), 1)
+        i, j = np.nonzero(hit)
+        x, y = left["gene"].to_numpy()[i], right["gene"].to_numpy()[j]
+        swap = x > y
+        return pd.DataFrame({"gene_a": np.where(swap, y, x), "gene_b": np.where(swap, x, y), "correlation": r[i, j]})
+
+    kind = genes.schema["gene"].dataType.simpleString()
+    own = genes.select("gene", "values", F.pmod(F.xxhash64("gene"), F.lit(blocks)).cast("int").alias("_b"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = own.withColumn("_o", other).select("gene", "values", "_b", F.least("_b", "_o").alias("_low"), F.greatest("_b", "_o").alias("_high"))
+    return dealt.groupBy("_low", "_high").applyInPandas(run, f"gene_a {kind}, gene_b {kind}, correlation double")
+
+
+def weighted(edges: DataFrame) -> DataFrame:
+    return edges.select("gene_a", "gene_b", F.col("correlation").alias("weight"), F.abs("correlation").alias("abs_weight"))
+
+
+def endpoints(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("gene_a").alias("gene")).union(edges.select("gene_b")).distinct()
+
+
+def symmetric(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("gene_a").alias("gene"), F.col("gene_b").alias("other"), "abs_weight").union(edges.select("gene_b", "gene_a", "abs_weight"))
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """Degree, weighted degree and statistics of incident weights of nodes with edges, in one aggregation."""
+    w = F.col("abs_weight")
+    return symmetric(edges).groupBy("gene").agg(
+        F.count("*").alias("degree"), F.sum(w).alias("weighted_degree"), F.avg(w).alias("mean_edge_weight"), F.max(w).alias("max_edge_weight"), F.min(w).alias("min_edge_weight"), F.stddev_pop(w).alias("std_edge_weight")
+    )
+
+
+def neighbour_degree(edges: DataFrame) -> DataFrame:
+    d = symmetric(edges).groupBy("gene").agg(F.count("*").alias("_d"))
+    return symmetric(edges).join(d.withColumnRenamed("gene", "other"), "other").groupBy("gene").agg(F.avg("_d").alias("avg_neighbor_degree"))
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """(a, b, c, wab, wac, wbc): each triangle once. Edges point to the node of higher degree, so a hub opens few wedges."""
+    d = symmetric(edges).groupBy("gene").agg(F.count("*").alias("_d"))
+    e = edges.select("gene_a", "gene_b", "abs_weight")
+    e = e.join(d.select(F.col("gene").alias("gene_a"), F.col("_d").alias("_da")), "gene_a").join(d.select(F.col("gene").alias("gene_b"), F.col("_d").alias("_db")), "gene_b")
+    first = F.struct("_da", "gene_a") < F.struct("_db", "gene_b")
+    out = cut(e.select(F.when(first, F.col("gene_a")).otherwise(F.col("gene_b")).alias("u"), F.when(first, F.col("gene_b")).otherwise(F.col("gene_a")).alias("v"), F.col("abs_weight").alias("w")))
+    x, y = out.select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("w").alias("wab")), out.select(F.col("u").alias("a"), F.col("v").alias("c"), F.col("w").alias("wac"))
+    wedges = x.join(y, "a").filter(F.col("b") != F.col("c"))
+    return wedges.join(out.select(F.col("u").alias("b"), F.col("v").alias("c"), F.col("w").alias("wbc")), ["b", "c"]).select("a", "b", "c", "wab", "wac", "wbc")
+
+
+def clustering(edges: DataFrame, use_weights: bool = True) -> DataFrame:
+    """Clustering coefficient of nodes with edges: weights over their maximum, geometric mean of each triangle."""
+    top = edges.agg(F.max("abs_weight").alias("_top"))
+    t = triangles(edges).crossJoin(F.broadcast(top))
+    value = F.cbrt(F.col("wab") * F.col("wac") * F.col("wbc")) / F.col("_top") if use_weights else F.lit(1.0)
+    sums = t.select(F.explode(F.array("a", "b", "c")).alias("gene"), value.alias("_t")).groupBy("gene").agg(F.sum("_t").alias("_s"))
+    d = symmetric(edges).groupBy("gene").agg(F.count("*").alias("_d"))
+    c = F.coalesce(F.try_divide(2 * F.col("_s"), F.col("_d") * (F.col("_d") - 1)), F.lit(0.0))
+    return d.join(sums, "gene", "left").select("gene", c.alias("clustering_coefficient"))
+
+
+def component_table(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """gene, component, component_size, in_largest_component; the largest with the least label wins ties."""
+    found = connected_components(edges, "gene_a", "gene_b").withColumnRenamed("node", "gene")
+    labelled = nodes.select("gene").join(found, "gene", "left").select("gene", F.coalesce("component", "gene").alias("component"))
+    sizes = labelled.groupBy("component").agg(F.count("*").alias("component_size"))
+    largest = sizes.agg(F.min(F.struct((-F.col("component_size")).alias("s"), "component")).alias("_l")).select(F.col("_l.component").alias("_largest"))
+    out = labelled.join(sizes, "component").crossJoin(F.broadcast(largest))
+    return out.select("gene", "component", "component_size", (F.col("component") == F.col("_largest")).cast("int").alias("in_largest_component"))
+
+
+def _adjacency(pairs: pd.DataFrame, genes: list) -> tuple[np.ndarray, np.ndarray]:
+    at = {g: i for i, g in enumerate(genes)}
+    a, b = pairs["gene_a"].map(at).to_numpy(), pairs["gene_b"].map(at).to_numpy()
+    src, dst = np.concatenate([a, b]), np.concatenate([b, a])
+    order = np.argsort(src, kind="stable")
+    return np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(genes)))]), dst[order]
+
+
+def search(source: int, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Breadth-first search of one source by levels: distances (-1: unreached) and pair dependencies (Brandes)."""
+    n = len(starts) - 1
+    dist, paths = np.full(n, -1), np.zeros(n)
+    dist[source], paths[source] = 0, 1
+    levels, frontier = [], np.array([source])
+    while len(frontier):
+        sizes = starts[frontier + 1] - starts[frontier]
+        u = np.repeat(frontier, sizes)
+        v = ends[np.repeat(starts[frontier] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())]
+        fresh = np.unique(v[dist[v] < 0])
+        dist[fresh] = dist[u[0]] + 1 if len(u) else 0
+        step = dist[v] == dist[u] + 1
+        np.add.at(paths, v[step], paths[u[step]])
+        levels.append((u[step], v[step]))
+        frontier = fresh
+    share = np.zeros(n)
+    for u, v in reversed(levels):
+        np.add.at(share, u, paths[u] / paths[v] * (1 + share[v]))
+    share[source] = 0
+    return dist, share
+
+
+def _by_joins(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, gene, dist, share) by level-synchronous joins, for graphs too large to broadcast."""
+    links = cut(symmetric(edges).select(F.col("gene").alias("_u"), F.col("other").alias("_v")))
+    level = cut(sources.select(F.col("gene").alias("source"), "gene", F.lit(0).alias("dist"), F.lit(1.0).alias("paths")))
+    levels, seen = [level], level.select("source", "gene")
+    while True:
+        step = level.join(links, level["gene"] == links["_u"]).groupBy("source", F.col("_v").alias("gene")).agg(F.sum("paths").alias("paths"))
+        level = cut(step.join(seen, ["source", "gene"], "left_anti").select("source", "gene", F.lit(len(levels)).alias("dist"), "paths"))
+        if not level.head(1):
+            break
+        levels.append(level)
+        seen = seen.union(level.select("source", "gene"))
+    shares = [levels[-1].withColumn("share", F.lit(0.0))]
+    for upper in reversed(levels[:-1]):
+        low = shares[0].select("source", F.col("gene").alias("_v"), F.col("paths").alias("_p"), F.col("share").alias("_s"))
+        part = upper.join(links, upper["gene"] == links["_u"]).join(low, ["source", "_v"])
+        sums = part.groupBy("source", "gene").agg(F.sum(F.col("paths") / F.col("_p") * (1 + F.col("_s"))).alias("_d"))
+        shares.insert(0, cut(upper.join(sums, ["source", "gene"], "left").select(*upper.columns, F.coalesce("_d", F.lit(0.0)).alias("share"))))
+    out = shares[0]
+    for more in shares[1:]:
+        out = out.union(more)
+    return out.select("source", "gene", "dist", F.when(F.col("dist") == 0, 0.0).otherwise(F.col("share")).alias("share"))
+
+
+def distance_measures(edges: DataFrame, nodes: DataFrame, exact_below: int = 3000, sources: int = 500, seed: int = 42, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """gene, betweenness_centrality, closeness_centrality of all nodes, without weights.
+
+    Betweenness is normalised; above `exact_below` nodes it is estimated from `sources` sources of least hash. Closeness is
+    exact and scaled by the size of the component. A graph of up to local_edges edges (counted first) is broadcast and
+    each task searches from its own sources; a larger one is searched by joins.
+    """
+    n = nodes.count()
+    if n == 0:
+        return nodes.select("gene", F.lit(0.0).alias("betweenness_centrality"), F.lit(0.0).alias("closeness_centrality"))
+    chosen = nodes.select("gene").orderBy(F.xxhash64("gene", F.lit(seed)), "gene").limit(sources if n > exact_below else n)
+    marked = cut(nodes.select("gene").join(chosen.withColumn("_chosen", F.lit(True)), "gene", "left").select("gene", F.coalesce("_chosen", F.lit(False)).alias("_chosen")))
+    if edges.count() <= local_edges:
+        pairs = edges.select("gene_a", "gene_b").toPandas()
+        genes = sorted(set(pairs["gene_a"]) | set(pairs["gene_b"]))
+        shared = edges.sparkSession.sparkContext.broadcast((genes, {g: i for i, g in enumerate(genes)}, *_adjacency(pairs, genes)))
+        kind = nodes.schema["gene"].dataType.simpleString()
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, at, starts, ends = shared.value
+            total = np.zeros(len(names))
+            for pdf in batches:
+                rows = []
+                for gene, use in zip(pdf["gene"], pdf["_chosen"], strict=True):
+                    reach, far = 1, 0
+                    if gene in at:
+                        dist, share = search(at[gene], starts, ends)
+                        reach, far = int((dist >= 0).sum()), int(dist[dist > 0].sum())
+                        total += share if use else 0
+                    rows.append((gene, 0.0, reach, far))
+                yield pd.DataFrame(rows, columns=["gene", "share", "reach", "far"])
+            used = np.flatnonzero(total)
+            yield pd.DataFrame({"gene": [names[i] for i in used], "share": total[used], "reach": 0, "far": 0})
+
+        parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        found = marked.repartition(min(parts, n)).mapInPandas(run, f"gene {kind}, share double, reach long, far long")
+    else:
+        rows = _by_joins(edges, marked.select("gene"))
+        use = rows.join(chosen.withColumnRenamed("gene", "source"), "source", "left_semi").groupBy("gene").agg(F.sum("share").alias("share"))
+        near = rows.groupBy(F.col("source").alias("gene")).agg(F.count("*").alias("reach"), F.sum("dist").cast("long").alias("far"))
+        found = near.join(use, "gene", "full_outer").select("gene", F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("reach", F.lit(0)).alias("reach"), F.coalesce("far", F.lit(0)).alias("far"))
+    sums = found.groupBy("gene").agg(F.sum("share").alias("_s"), F.sum("reach").alias("_r"), F.sum("far").alias("_f"))
+    scale = (n / sources if n > exact_below else 1.0) / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    near = F.coalesce(F.try_divide((F.col("_r") - 1) * (F.col("_r") - 1), F.col("_f") * F.lit(max(n - 1, 1))), F.lit(0.0))
+    return sums.select("gene", (F.col("_s") * scale).alias("betweenness_centrality"), near.cast("double").alias("closeness_centrality"))
+
+
+def eigenvector(edges: DataFrame, nodes: DataFrame, iterations: int = 1000, tolerance: float = 1e-6, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """gene, eigenvector_centrality on |weight|: x + Ax, normalised, until the change is under n * tolerance.
+
+    Without convergence the degree over the greatest degree. Up to local_edges edges (counted first) one task iterates on
+    arrays; beyond, each iteration is a join and a sum.
+    """
+    n = nodes.count()
+    kind = nodes.schema["gene"].dataType.simpleString()
+    if n == 0:
+        return nodes.select("gene", F.lit(0.0).alias("eigenvector_centrality"))
+    if edges.count() <= local_edges:
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            genes = sorted(pdf["gene_a"][pdf["abs_weight"].isna()])
+            pairs = pdf[pdf["abs_weight"].notna()]
+            at = {g: i for i, g in enumerate(genes)}
+            a, b, w = pairs["gene_a"].map(at).to_numpy(int), pairs["gene_b"].map(at).to_numpy(int), pairs["abs_weight"].to_numpy(float)
+            x = np.full(len(genes), 1 / len(genes))
+            for _ in range(iterations):
+                new = x + np.bincount(a, w * x[b], len(genes)) + np.bincount(b, w * x[a], len(genes))
+                new /= np.linalg.norm(new) or 1
+                done = np.abs(new - x).sum() < len(genes) * tolerance
+                x = new
+                if done:
+                    break
+            else:
+                d = np.bincount(a, minlength=len(genes)) + np.bincount(b, minlength=len(genes))
+                x = d / max(d.max(), 1)
+            return pd.DataFrame({"gene": genes, "eigenvector_centrality": x})
+
+        none = F.lit(None)
+        rows = edges.select("gene_a", "gene_b", "abs_weight").union(nodes.select("gene", none.cast(kind), none.cast("double")))
+        return rows.groupBy(F.lit(0)).applyInPandas(run, f"gene {kind}, eigenvector_centrality double")
+    links = cut(symmetric(edges))
+    x = nodes.select("gene", F.lit(1 / n).alias("x"))
+    for _ in range(iterations):
+        more = links.join(x.withColumnRenamed("gene", "other"), "other").groupBy("gene").agg(F.sum(F.col("abs_weight") * F.col("x")).alias("_a"))
+        new = x.join(more, "gene", "left").select("gene", F.col("x").alias("_old"), (F.col("x") + F.coalesce("_a", F.lit(0.0))).alias("_new"))
+        norm = new.agg(F.sqrt(F.sum(F.col("_new") * F.col("_new"))).alias("_norm"))
+        new = cut(new.crossJoin(F.broadcast(norm)).select("gene", "_old", (F.col("_new") / F.col("_norm")).alias("x")))
+        change = new.agg(F.sum(F.abs(F.col("x") - F.col("_old")))).first()[0]
+        x = new.select("gene", "x")
+        if change < n * tolerance:
+            return x.withColumnRenamed("x", "eigenvector_centrality")
+    d = degrees(edges).select("gene", "degree")
+    top = d.agg(F.max("degree").alias("_top"))
+    return nodes.join(d, "gene", "left").crossJoin(F.broadcast(top)).select("gene", (F.coalesce("degree", F.lit(0)) / F.col("_top")).alias("eigenvector_centrality"))
+
+
+def network_features(edges: DataFrame, nodes: DataFrame, **options) -> DataFrame:
+    """The 13 network features of every node of the universe; isolated ones have zeros."""
+    edges, nodes = cut(edges), cut(nodes.select("gene"))
+    out = nodes
+    for part in (degrees(edges), neighbour_degree(edges), distance_measures(edges, nodes, **options), eigenvector(edges, nodes), clustering(edges), component_table(edges, nodes).drop("component")):
+        out = out.join(part, "gene", "left")
+    return out.fillna(0)
+
+
+def induced(edges: DataFrame, genes: DataFrame) -> DataFrame:
+    """Edges between genes of a set."""
+    keep = genes.select("gene").distinct()
+    return edges.join(keep.withColumnRenamed("gene", "gene_a"), "gene_a", "left_semi").join(keep.withColumnRenamed("gene", "gene_b"), "gene_b", "left_semi").select(*edges.columns)
+
+
+def statistics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """metric, value: nodes, edges, density, components, largest component, mean unweighted clustering, degrees, assortativity."""
+    n, m = nodes.count(), edges.count()
+    d = degrees(edges).select("gene", "degree")
+    both = symmetric(edges).join(d, "gene").join(d.select(F.col("gene").alias("other"), F.col("degree").alias("_e")), "other")
+    r = F.try_divide(F.covar_pop("degree", "_e"), F.stddev_pop("degree") * F.stddev_pop("_e"))
+    comps = component_table(edges, nodes).agg(F.countDistinct("component").cast("double").alias("c"), F.max("component_size").cast("double").alias("l"))
+    parts = [
+        comps.select(F.explode(F.array(F.struct(F.lit("n_connected_components").alias("metric"), F.col("c").alias("value")), F.struct(F.lit("largest_component_size"), F.col("l")))).alias("x")).select("x.*"),
+        clustering(edges, False).agg(F.sum("clustering_coefficient").alias("s")).select(F.lit("avg_clustering_coeff"), F.round(F.coalesce("s", F.lit(0.0)) / max(n, 1), 6)),
+        d.agg(F.coalesce(F.max("degree"), F.lit(0)).cast("double").alias("x")).select(F.lit("max_degree"), "x"),
+        both.agg(F.round(r, 6).alias("x")).select(F.lit("degree_assortativity"), "x"),
+    ]
+    fixed = [("n_nodes", float(n)), ("n_edges", float(m)), ("density", round(2 * m / (n * (n - 1)), 8) if n > 1 else 0.0), ("avg_degree", round(2 * m / max(n, 1), 6))]
+    out = nodes.sparkSession.createDataFrame(fixed, "metric string, value double")
+    for part in parts:
+        out = out.union(part)
+    return out
+
+
+def hubs(edges: DataFrame, k: int = 20) -> DataFrame:
+    return degrees(edges).select("gene", "degree", "weighted_degree").orderBy(F.desc("degree"), "gene").limit(k)
+
+
+def node_color(known: str = "is_known", novel: str = "novel_candidate", significant: str = "is_de_significant"):
+    """Category of a node, the first that holds."""
+    return F.when(F.col(known), "known").when(F.col(novel), "novel").when(F.col(significant), "de").otherwise("none")
+
+
+def annotated_nodes(nodes: DataFrame, ranking: DataFrame, features: DataFrame | None = None) -> DataFrame:
+    out = nodes.select("gene").join(ranking, "gene", "left")
+    if features is not None:
+        out = out.join(features, "gene", "left")
+    probability = F.coalesce("predicted_prob", F.lit(0.0))
+    return out.withColumns({"node_color": node_color(), "node_size": 5 + probability * 45})
+
+
+def annotated_edges(edges: DataFrame, ranking: DataFrame, candidate: float = 0.5) -> DataFrame:
+    """Edges with sign, ranks and probabilities of both ends, and whether both are candidates."""
+    a = ranking.select(F.col("gene").alias("gene_a"), F.col("rank").alias("gene_a_rank"), F.col("predicted_prob").alias("gene_a_prob"))
+    b = ranking.select(F.col("gene").alias("gene_b"), F.col("rank").alias("gene_b_rank"), F.col("predicted_prob").alias("gene_b_prob"))
+    both = (F.coalesce("gene_a_prob", F.lit(0.0)) >= candidate) & (F.coalesce("gene_b_prob", F.lit(0.0)) >= candidate)
+    kind = F.when(F.col("weight") >= 0, "positive").otherwise("negative")
+    out = edges.withColumn("edge_type", kind).join(a, "gene_a", "left").join(b, "gene_b", "left")
+    return out.select("gene_a", "gene_b", "weight", "abs_weight", "edge_type", "gene_a_rank", "gene_b_rank", "gene_a_prob", "gene_b_prob", both.alias("both_candidates"))
+
+
+def differential_network(case: DataFrame, control: DataFrame) -> DataFrame:
+    """Edges of either cohort with both correlations (0 where under the cutoff) and their difference."""
+    a = case.select("gene_a", "gene_b", F.col("correlation").alias("r_case"))
+    b = control.select("gene_a", "gene_b", F.col("correlation").alias("r_control"))
+    out = a.join(b, ["gene_a", "gene_b"], "full_outer").fillna(0.0, ["r_case", "r_control"])
+    return out.withColumn("difference", F.col("r_case") - F.col("r_control"))
+
+
+def spring_layout(edges: DataFrame, nodes: DataFrame, k: float = 1.8, iterations: int = 80, seed: int = 42, most: int = 150) -> DataFrame:
+    """gene, x, y of the `most` first nodes by gene, by force-directed placement in one task (a plot holds few nodes)."""
+    chosen = nodes.select("gene").orderBy("gene").limit(most)
+    kind = nodes.schema["gene"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        genes = sorted(pdf["gene_a"][pdf["abs_weight"].isna()])
+        at, pairs = {g: i for i, g in enumerate(genes)}, pdf[pdf["abs_weight"].notna()]
+        w = np.zeros((len(genes), len(genes)))
+        i, j = pairs["gene_a"].map(at).to_numpy(int), pairs["gene_b"].map(at).to_numpy(int)
+        w[i, j] = w[j, i] = pairs["abs_weight"]
+        place = np.random.default_rng(seed).random((len(genes), 2))
+        heat = 0.1 * max(np.ptp(place, axis=0).max() if len(genes) else 0, 1e-9)
+        for step in range(iterations):
+            gap = place[:, None] - place[None]
+            far = np.maximum(np.linalg.norm(gap, axis=2), 0.01)
+            move = (gap * (k * k / far**2 - w * far / k)[..., None]).sum(axis=1)
+            length = np.maximum(np.linalg.norm(move, axis=1, keepdims=True), 0.01)
+            place = place + move / length * np.minimum(length, heat * (1 - step / (iterations + 1)))
+        return pd.DataFrame({"gene": genes, "x": place[:, 0], "y": place[:, 1]})
+
+    none = F.lit(None)
+    rows = induced(edges, chosen).select("gene_a", "gene_b", "abs_weight").union(chosen.select("gene", none.cast(kind), none.cast("double")))
+    return rows.groupBy(F.lit(0)).applyInPandas(run, f"gene {kind}, x double, y double")
