@@ -28,11 +28,10 @@ _workers: dict[str, LibraryBpe] = {}
 
 def library_classes() -> bytes:
     """Classes of code points as the tokenizer library's own regular expressions know them."""
-    from tokenizers import Regex, pre_tokenizers
+    from tokenizers import Regex, normalizers
 
     def members(pattern: str, characters: str) -> set[str]:
-        rest = pre_tokenizers.Split(Regex(pattern), "removed").pre_tokenize_str(characters)
-        return set(characters).difference(*(piece for piece, _ in rest))
+        return set(characters).difference(normalizers.Replace(Regex(pattern), "").normalize_str(characters))
 
     return class_table(members)
 
