@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-from itertools import count
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.durable import cut, ensure_checkpoint_dir
+
+__all__ = ["WHITE", "WHITE_RE", "cut", "ensure_checkpoint_dir", "or_empty", "shuffle_partitions", "table"]
+
 #: White space of every contract: U+0020 and U+0009 to U+000D, as characters.
 WHITE = " \t\n\x0b\x0c\r"
 #: The same set as a Java regular expression.
@@ -19,33 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where none is set (tests, one machine)."""
-    context = spark.sparkContext
-    set_dir = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not set_dir:
-        set_dir = tempfile.mkdtemp(prefix="tessera-checkpoint-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(set_dir)
-    return set_dir
-
-
-#: After so many cuts the driver collects its garbage, which lets Spark delete shuffle and checkpoint files that nothing
-#: refers to any more. Operators that cut often would else hold all their files until the driver's heap is full.
-RELEASE_EVERY = 4
-_cuts = count(1)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from the files: a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    if next(_cuts) % RELEASE_EVERY == 0:
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def or_empty(column: str):
     """A text column with null read as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

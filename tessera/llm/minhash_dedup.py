@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.byte_bpe import in_slices
 from tessera.llm.common import cut, shuffle_partitions
-from tessera.llm.components import connected_components
+from tessera.operators.components import connected_components
 
 TREES, FIRST, DEEPEST, SLOTS = 16, 2, 6, 128
 #: A node or group of up to SMALL members is compared in one piece; larger ones in blocks of BLOCK.
@@ -215,7 +215,7 @@ def candidate_edges(reps: DataFrame, least: float) -> DataFrame:
         )
         live = rows.join(nodes, "_node")
         small = live.filter(F.col("_size") <= SMALL).select("_id", "_node", "_label").join(sketches, "_id")
-        edges.append(cut(_grouped(small, ["_node"], ["_id"]).mapInPandas(_small_nodes(least, ["_node"]), "a long, b long").distinct()))
+        edges.append(cut(_grouped(small, ["_node"], ["_id"]).mapInPandas(_small_nodes(least, ["_node"]), "a long, b long")))
         if not nodes.filter(F.col("_size") > SMALL).head(1):
             break
         pivots = nodes.filter(F.col("_size") > SMALL).join(
@@ -229,7 +229,7 @@ def candidate_edges(reps: DataFrame, least: float) -> DataFrame:
                 "_id long, _pivot long, _near boolean, _label long, _node long, _tree int, _level int, _deepest boolean",
             )
         )
-        edges.append(large.filter("_near").select(F.col("_id").alias("a"), F.col("_pivot").alias("b")).distinct())
+        edges.append(large.filter("_near").select(F.col("_id").alias("a"), F.col("_pivot").alias("b")))
         last = large.filter("_deepest")
         if last.head(1):
             edges.append(_in_blocks(last.select("_id", "_node", "_label", F.col("_pivot").alias("_main")), sketches, "_node", _small_nodes(least, ["_key"])))
@@ -254,7 +254,7 @@ def _in_blocks(rows: DataFrame, content: DataFrame, group: str, compare) -> Data
     as_all = members.select("_id", "_label", group, chunk("_m").alias("_i"), F.explode(F.sequence(F.lit(0), chunks("_r") - 1)).alias("_j"))
     as_rest = members.filter(rest).select("_id", "_label", group, F.explode(F.sequence(F.lit(0), chunks("_m") - 1)).alias("_i"), chunk("_r").alias("_j"))
     dealt = as_all.union(as_rest).distinct().withColumn("_key", F.xxhash64(group, "_i", "_j")).select("_id", "_label", "_key")
-    return cut(_grouped(dealt.join(content, "_id"), ["_key"], ["_id"]).mapInPandas(compare, "a long, b long").distinct())
+    return cut(_grouped(dealt.join(content, "_id"), ["_key"], ["_id"]).mapInPandas(compare, "a long, b long"))
 
 
 def confirmed_edges(sets: list[np.ndarray], ids: np.ndarray, percent: int, labels: np.ndarray | None = None) -> list[tuple]:
@@ -306,7 +306,7 @@ def confirm(groups: DataFrame, texts: DataFrame, percent: int, width: int) -> Da
             large.filter(F.col("_id") == F.col("component")).select("_id", "_text", "component", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("_i"))
         )
     dealt = dealt.withColumn("_key", F.xxhash64("component", "_i")).select("_id", "_text", "_key")
-    edges = cut(_grouped(dealt, ["_key"], ["_id"]).mapInPandas(_confirm(percent, width, ["_key"]), "a long, b long").distinct())
+    edges = cut(_grouped(dealt, ["_key"], ["_id"]).mapInPandas(_confirm(percent, width, ["_key"]), "a long, b long"))
     found = connected_components(edges, "a", "b")
     if not any_large:
         return found
