@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import clean, enrich, features, graph, metrics, stats
+from tessera.operators import clean, enrich, features, graph, metrics, ml, stats
 from tessera.operators.ordered import benjamini_hochberg, with_ranks
 from tessera.plans import views
 from tessera.plans.views import EDGES, EV, EXPR, LABELS, RAW, SCORED
@@ -722,3 +722,61 @@ def a23(spark, d):
 @query("p30_name_filter", "SELECT p_partkey, p_type FROM part WHERE contains(lower(p_type), 'brass') OR contains(lower(p_type), 'small')")
 def p30(spark, d):
     return views.table(spark, d, "part").filter(enrich.name_matches("p_type", ["Brass", "SMALL"])).select("p_partkey", "p_type")
+
+
+# learning; rows only: these fits have no SQL equivalent
+
+
+def _wave(spark, d):
+    """Embeddings as eight features of a gene, label 1 for one group."""
+    e = views.emb_vec(spark, d)
+    cols = {f"f{i}": F.col("values")[i] + (F.col("group") == 0).cast("int") * (0.15 if i < 3 else 0.0) for i in range(8)}
+    return e.select("gene", (F.col("group") == 0).cast("int").alias("label"), *(v.alias(k) for k, v in cols.items()))
+
+
+WAVES = [f"f{i}" for i in range(8)]
+
+
+def _fit_score(model):
+    def run(spark, d):
+        df = features.split(_wave(spark, d))
+        return rounded(model().fit(df.filter(~F.col("is_test")).drop("is_test"), WAVES).score(df.filter("is_test").drop("is_test")))
+
+    return run
+
+
+query("m07_random_forest")(_fit_score(lambda: ml.models(trees=20)["random_forest"]))
+query("m08_gradient_boosting")(_fit_score(lambda: ml.models(rounds=5)["gradient_boosting"]))
+query("m09_logistic_regression")(_fit_score(lambda: ml.models()["logistic_regression"]))
+query("m10_extra_trees")(_fit_score(lambda: ml.ExtraTrees(20)))
+query("m11_rbf_svm")(_fit_score(lambda: ml.RbfSvm(64)))
+
+
+@query("m03_pca")
+def m03(spark, d):
+    return rounded(ml.project(_wave(spark, d), WAVES))
+
+
+@query("m12_smote")
+def m12(spark, d):
+    return rounded(ml.smote(_wave(spark, d), WAVES))
+
+
+@query("m14_m16_cross_validation")
+def m14(spark, d):
+    df = features.folds(_wave(spark, d), 2)
+    return ml.cv_table(ml.cross_validate(df, WAVES, {"logistic_regression": ml.models()["logistic_regression"]}))
+
+
+@query("m20_m21_importance")
+def m20(spark, d):
+    df = _wave(spark, d).select("gene", "label", "f0", "f7")
+    model = ml.models()["logistic_regression"].fit(df, ["f0", "f7"])
+    drops = ml.permutation_importance(model, df, ["f0", "f7"], 1)
+    return ml.importance_table(spark, {"coefficient": model.importance(), "permutation": {r["feature"]: r["importance"] for r in drops.collect()}})
+
+
+@query("m22_soft_vote", f"WITH {SCORED} SELECT gene, round((score + 3 * (1 - score)) / 4, 6) AS score FROM scored")
+def m22(spark, d):
+    s = views.scored(spark, d)
+    return rounded(ml.soft_vote([s, s.withColumn("score", 1 - F.col("score"))], [1.0, 3.0]))
