@@ -42,12 +42,16 @@ def weights(templates: dict[str, list[str]]) -> tuple[list[tuple[str, str, str,
     return rows, idf, math.log(1 + len(texts)) + 1
 
 
+# Function words, which are looked for only where a template can't do without them.
+FUNCTION_WORDS = set("a an and any are as at be by can for from in is it may not of on or that the this to under was were with you".split())
+
+
 def heavy_words(rows: list[tuple[str, str, str, float]], threshold: float) -> list[str]:
-    """Words such that those left of each template weigh less than the threshold together."""
+    """Words such that those left of each template weigh less than the threshold together; long and rare ones first."""
     heavy: set[str] = set()
     common = Counter(w for _, _, w, _ in rows)
     for key in sorted({k for _, k, _, _ in rows}):
-        own = sorted(((x, w) for _, k, w, x in rows if k == key), key=lambda x: (x[1] not in heavy, len(x[1]) < 3, -x[0], -common[x[1]], x[1]))
+        own = sorted(((x, w) for _, k, w, x in rows if k == key), key=lambda x: (x[1] in FUNCTION_WORDS, x[1] not in heavy, len(x[1]) < 4, -x[0], -common[x[1]], x[1]))
         left = sum(x * x for x, _ in own)
         for x, w in own:
             if left < (threshold - 1e-6) ** 2:
