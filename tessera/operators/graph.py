@@ -66,7 +66,7 @@ def correlation_edges(genes: DataFrame, cutoff: float = 0.70, method: str = "pea
     n = genes.count()
     blocks = max(1, -(-n // block))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         low, high = key
         pdf = pdf.sort_values("gene")
         left, right = pdf[pdf["_b"] == low], pdf[pdf["_b"] == high]
@@ -318,13 +318,14 @@ def induced(edges: DataFrame, genes: DataFrame) -> DataFrame:
 
 def statistics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """metric, value: nodes, edges, density, components, largest component, mean unweighted clustering, degrees, assortativity."""
+    edges, nodes = cut(edges), cut(nodes.select("gene"))
     n, m = nodes.count(), edges.count()
     d = degrees(edges).select("gene", "degree")
     both = symmetric(edges).join(d, "gene").join(d.select(F.col("gene").alias("other"), F.col("degree").alias("_e")), "other")
     r = F.try_divide(F.covar_pop("degree", "_e"), F.stddev_pop("degree") * F.stddev_pop("_e"))
     comps = component_table(edges, nodes).agg(F.countDistinct("component").cast("double").alias("c"), F.max("component_size").cast("double").alias("l"))
     parts = [
-        comps.select(F.explode(F.array(F.struct(F.lit("n_connected_components").alias("metric"), F.col("c").alias("value")), F.struct(F.lit("largest_component_size"), F.col("l")))).alias("x")).select("x.*"),
+        comps.select(F.explode(F.array(F.struct(F.lit("n_connected_components").alias("metric"), F.col("c").alias("value")), F.struct(F.lit("largest_component_size").alias("metric"), F.col("l").alias("value")))).alias("x")).select("x.*"),
         clustering(edges, False).agg(F.sum("clustering_coefficient").alias("s")).select(F.lit("avg_clustering_coeff"), F.round(F.coalesce("s", F.lit(0.0)) / max(n, 1), 6)),
         d.agg(F.coalesce(F.max("degree"), F.lit(0)).cast("double").alias("x")).select(F.lit("max_degree"), "x"),
         both.agg(F.round(r, 6).alias("x")).select(F.lit("degree_assortativity"), "x"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.durable import cut
 from tessera.functions.special import student_p
 from tessera.operators.ordered import benjamini_hochberg, with_ranks
 
@@ -79,7 +80,7 @@ def differential(expr: DataFrame, fdr: float = 0.05, log2fc: float = 1.0, test=w
     moments = cohort_moments(expr).filter((F.col("n1") > 0) & (F.col("n2") > 0))
     tested = cohens_d(test(moments), cohort_widths(expr))
     tested = tested.withColumn("pvalue", F.coalesce(student_p("t_stat", "df"), F.lit(1.0))).withColumn("log2fc", F.col("m1") - F.col("m2"))
-    out = benjamini_hochberg(tested, "pvalue").withColumn("significant", significance(fdr, log2fc))
+    out = benjamini_hochberg(cut(tested), "pvalue").withColumn("significant", significance(fdr, log2fc))
     return out.select(
         "gene", F.col("m1").alias("mean_tumor"), F.col("m2").alias("mean_normal"), "log2fc", "t_stat", "pvalue", "pvalue_adj",
         neg_log10("pvalue_adj").alias("neg_log10_padj"), "cohens_d", "significant", direction().alias("direction"),
@@ -114,8 +115,8 @@ RANKED = ["tumor_mean", "abs_log2fc", "neg_log10_padj", "cohens_d", "tumor_iqr"]
 def winsorise(df: DataFrame, columns: list[str], low: float = 0.001, high: float = 0.999) -> DataFrame:
     """Cut columns to their own quantiles."""
     q = df.agg(*(F.percentile(c, x).alias(f"_{i}_{c}") for c in columns for i, x in ((0, low), (1, high))))
-    cut = {c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"_0_{c}")), F.col(f"_1_{c}"))) for c in columns}
-    return df.crossJoin(F.broadcast(q)).withColumns(cut).select(*df.columns)
+    bounded = {c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"_0_{c}")), F.col(f"_1_{c}"))) for c in columns}
+    return df.crossJoin(F.broadcast(q)).withColumns(bounded).select(*df.columns)
 
 
 def finite(column: Column | str) -> Column:
@@ -144,7 +145,9 @@ def expression_features(expr: DataFrame, de: DataFrame) -> DataFrame:
     tests = de.select("gene", *(F.coalesce(finite(c), F.lit(0.0)).alias(c) for c in ("log2fc", "neg_log10_padj", "cohens_d", "t_stat"))).withColumn("abs_log2fc", F.abs("log2fc"))
     df = wide.join(tests, "gene", "left")
     ratios = {f"tumor_normal_{s}_ratio": F.col(f"tumor_{s}") / (F.col(f"normal_{s}") + EPSILON) for s in ("mean", "std", "iqr")}
-    df = winsorise(df.withColumns({k: finite(v) for k, v in ratios.items()}), list(ratios))
-    for column in RANKED:
-        df = percentile_rank(df, column, f"{column}_rank")
+    df = cut(winsorise(df.withColumns({k: finite(v) for k, v in ratios.items()}), list(ratios)))
+    out = df
+    for column in RANKED:  # each from the written table, so that none recomputes another
+        out = out.join(percentile_rank(df.select("gene", column), column, f"{column}_rank").drop(column), "gene")
+    df = cut(out)
     return impute_median(df, [c for c in df.columns if c != "gene"])

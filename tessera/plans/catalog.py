@@ -397,10 +397,10 @@ r AS (SELECT gene, s, rank() OVER (PARTITION BY gene ORDER BY v) + (count(*) OVE
 z AS (SELECT gene, s, (r - avg(r) OVER (PARTITION BY gene)) / stddev_samp(r) OVER (PARTITION BY gene) AS z FROM r),
 zz AS (SELECT gene, list(z ORDER BY s) AS l, count(*) AS n FROM z GROUP BY gene),
 e AS (SELECT a.gene AS gene_a, b.gene AS gene_b, list_dot_product(a.l, b.l) / (a.n - 1) AS r FROM zz a JOIN zz b ON a.gene < b.gene)
-SELECT gene_a, gene_b, round(r, 4) AS correlation FROM e WHERE abs(r) > 0.35""",
+SELECT gene_a, gene_b, round(r, 4) AS correlation FROM e WHERE abs(r) > 0.3507""",
 )
 def g03(spark, d):
-    return rounded(graph.correlation_edges(views.emb_vec(spark, d), 0.35, "spearman", strict=True), 4)
+    return rounded(graph.correlation_edges(views.emb_vec(spark, d), 0.3507, "spearman", strict=True), 4)
 
 
 @query(
