@@ -30,11 +30,16 @@ LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)(\.[^/]*)?$"
 WORD = "[a-z0-9]+"
 
 
+# Function words, whose weight is cut to LIGHT so that no line is like a template by them alone.
+FUNCTION_WORDS = set("a an and any are as at be by can for from in is it may not of on or that the this to under was were with you".split())
+LIGHT = 0.25
+
+
 def weights(templates: dict[str, list[str]]) -> tuple[list[tuple[str, str, str, float]], dict[str, float], float]:
-    """(licence, template, word, unit TF-IDF weight) rows, the idf of each word, and the idf of words in no template."""
+    """(licence, template, word, unit TF-IDF weight) rows, the idf of each of their words and of function words, and that of all others."""
     texts = [(name, f"{name}#{i}", Counter(re.findall(WORD, t.lower()))) for name, group in sorted(templates.items()) for i, t in enumerate(group)]
     seen = Counter(w for _, _, words in texts for w in words)
-    idf = {w: math.log((1 + len(texts)) / (1 + n)) + 1 for w, n in sorted(seen.items())}
+    idf = {w: (math.log((1 + len(texts)) / (1 + seen[w])) + 1) * (LIGHT if w in FUNCTION_WORDS else 1) for w in sorted({*seen, *FUNCTION_WORDS})}
     rows = []
     for name, key, words in texts:
         norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in words.items()))
@@ -42,10 +47,6 @@ def weights(templates: dict[str, list[str]]) -> tuple[list[tuple[str, str, str,
     return rows, idf, math.log(1 + len(texts)) + 1
 
 
-# Function words, which are looked for only where a template can't do without them.
-FUNCTION_WORDS = set("a an and any are as at be by can for from in is it may not of on or that the this to under was were with you".split())
-
-
 def heavy_words(rows: list[tuple[str, str, str, float]], threshold: float) -> list[str]:
     """Words such that those left of each template weigh less than the threshold together; long and rare ones first."""
     heavy: set[str] = set()
