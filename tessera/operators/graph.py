@@ -81,9 +81,10 @@ def correlation_edges(genes: DataFrame, cutoff: float = 0.70, method: str = "pea
         if low == high:
             hit &= np.triu(np.ones_like(hit), 1)
         i, j = np.nonzero(hit)
-        x, y = left["gene"].to_numpy()[i], right["gene"].to_numpy()[j]
-        swap = x > y
-        return pd.DataFrame({"gene_a": np.where(swap, y, x), "gene_b": np.where(swap, x, y), "correlation": r[i, j]})
+        x, y = left["gene"].to_numpy(object)[i], right["gene"].to_numpy(object)[j]
+        swap = np.array(x > y, bool)
+        ends = {"gene_a": np.where(swap, y, x), "gene_b": np.where(swap, x, y)}
+        return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in ends.items()} | {"correlation": r[i, j]})
 
     kind = genes.schema["gene"].dataType.simpleString()
     own = genes.select("gene", "values", F.pmod(F.xxhash64("gene"), F.lit(blocks)).cast("int").alias("_b"))
@@ -235,9 +236,9 @@ def distance_measures(edges: DataFrame, nodes: DataFrame, exact_below: int = 300
                         reach, far = int((dist >= 0).sum()), int(dist[dist > 0].sum())
                         total += share if use else 0
                     rows.append((gene, 0.0, reach, far))
-                yield pd.DataFrame(rows, columns=["gene", "share", "reach", "far"])
+                yield pd.DataFrame(rows, columns=["gene", "share", "reach", "far"]).astype({"gene": object})
             used = np.flatnonzero(total)
-            yield pd.DataFrame({"gene": [names[i] for i in used], "share": total[used], "reach": 0, "far": 0})
+            yield pd.DataFrame({"gene": pd.Series([names[i] for i in used], dtype=object), "share": total[used], "reach": 0, "far": 0})
 
         parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         found = marked.repartition(min(parts, n)).mapInPandas(run, f"gene {kind}, share double, reach long, far long")
@@ -280,11 +281,11 @@ def eigenvector(edges: DataFrame, nodes: DataFrame, iterations: int = 1000, tole
             else:
                 d = np.bincount(a, minlength=len(genes)) + np.bincount(b, minlength=len(genes))
                 x = d / max(d.max(), 1)
-            return pd.DataFrame({"gene": genes, "eigenvector_centrality": x})
+            return pd.DataFrame({"gene": pd.Series(genes, dtype=object), "eigenvector_centrality": x})
 
         none = F.lit(None)
         rows = edges.select("gene_a", "gene_b", "abs_weight").union(nodes.select("gene", none.cast(kind), none.cast("double")))
-        return rows.groupBy(F.lit(0)).applyInPandas(run, f"gene {kind}, eigenvector_centrality double")
+        return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, f"gene {kind}, eigenvector_centrality double")
     links = cut(symmetric(edges))
     x = nodes.select("gene", F.lit(1 / n).alias("x"))
     for _ in range(iterations):
@@ -391,8 +392,8 @@ def spring_layout(edges: DataFrame, nodes: DataFrame, k: float = 1.8, iterations
             move = (gap * (k * k / far**2 - w * far / k)[..., None]).sum(axis=1)
             length = np.maximum(np.linalg.norm(move, axis=1, keepdims=True), 0.01)
             place = place + move / length * np.minimum(length, heat * (1 - step / (iterations + 1)))
-        return pd.DataFrame({"gene": genes, "x": place[:, 0], "y": place[:, 1]})
+        return pd.DataFrame({"gene": pd.Series(genes, dtype=object), "x": place[:, 0], "y": place[:, 1]})
 
     none = F.lit(None)
     rows = induced(edges, chosen).select("gene_a", "gene_b", "abs_weight").union(chosen.select("gene", none.cast(kind), none.cast("double")))
-    return rows.groupBy(F.lit(0)).applyInPandas(run, f"gene {kind}, x double, y double")
+    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, f"gene {kind}, x double, y double")
