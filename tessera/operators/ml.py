@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import features, metrics
@@ -288,19 +288,28 @@ def calibrate(scored: DataFrame, fitted_on: DataFrame) -> DataFrame:
 
 
 def permutation_importance(model, df: DataFrame, columns: list[str], repeats: int = 10, seed: int = 42) -> DataFrame:
-    """feature, importance, deviation: mean drop of AUROC when a feature is dealt out anew among the rows."""
-    df = df.select("gene", "label", *columns).cache()
-    base = metrics.auroc(model.score(df)).first()[0]
-    place = features._within_class(df.select("gene", F.lit(0).alias("label"), *columns), seed, "label", "gene").select("gene", F.col("_k").alias("_at"))
-    rows = []
-    for column in columns:
-        for repeat in range(repeats):
-            mixed = features._within_class(df.select("gene", F.lit(0).alias("label"), F.col(column).alias("_value")), seed + 1 + repeat, "label", "gene")
-            other = place.join(mixed.select(F.col("_k").alias("_at"), "_value"), "_at").select("gene", "_value")
-            shuffled = df.drop(column).join(other.withColumnRenamed("_value", column), "gene")
-            rows.append((column, repeat, base - metrics.auroc(model.score(shuffled)).first()[0]))
-    df.unpersist()
-    drops = df.sparkSession.createDataFrame(rows, "feature string, repeat int, drop double")
+    """feature, importance, deviation: mean drop of AUROC when a feature is dealt out anew among the rows.
+
+    Each repeat pairs every row with another one in hash order; all features of a repeat are scored in one pass, over rows
+    repeated for each feature, and one without a change.
+    """
+    tags, mark = ["", *columns], "\x01"
+    rows = df.select(F.col("gene").cast("string").alias("gene"), "label", *columns)
+    at = features._within_class(rows.select("gene", F.lit(0).alias("label")), seed, "label", "gene").select("gene", F.col("_k").alias("_at"))
+    found = []
+    for repeat in range(repeats):
+        other = features._within_class(rows.withColumn("label", F.lit(0)), seed + 1 + repeat, "label", "gene")
+        pairs = rows.join(at, "gene").join(other.select(F.col("_k").alias("_at"), *(F.col(c).alias(f"_p_{c}") for c in columns)), "_at")
+        long = pairs.withColumn("_tag", F.explode(F.array(*map(F.lit, tags))))
+        mixed = {c: F.when(F.col("_tag") == c, F.col(f"_p_{c}")).otherwise(F.col(c)) for c in columns}
+        long = long.select(F.concat("_tag", F.lit(mark), "gene").alias("gene"), "label", *(v.alias(c) for c, v in mixed.items()))
+        scored = model.score(long).select(F.substring_index("gene", mark, 1).alias("feature"), "label", "score")
+        counts = scored.groupBy("feature", "score").agg(F.sum("label").alias("p"), F.count("*").alias("n")).withColumn("f", F.col("n") - F.col("p"))
+        upto = F.sum("p").over(Window.partitionBy("feature").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0))  # over distinct scores
+        areas = counts.withColumn("tp", upto).groupBy("feature").agg(F.try_divide(F.sum(F.col("f") * (F.col("tp") - F.col("p") / 2)), F.sum("p") * F.sum("f")).alias("area"))
+        found += [(r["feature"], r["area"]) for r in areas.collect()]  # a row per feature
+    base = next((a for f, a in found if f == ""), None) or 0.0
+    drops = df.sparkSession.createDataFrame([(f, base - (a or 0.0)) for f, a in found if f], "feature string, drop double")
     return drops.groupBy("feature").agg(F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("deviation"))
 
 
@@ -324,8 +333,6 @@ def importance_table(spark, methods: dict[str, dict[str, float]]) -> DataFrame:
     scaled = long.join(F.broadcast(edges), "method").withColumn("value", (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-12))
     wide = scaled.groupBy("feature", "feature_group").pivot("method", sorted(methods)).agg(F.first("value"))
     stats = scaled.groupBy("feature").agg(F.avg("value").alias("mean_importance"), F.stddev_samp("value").alias("std_importance"))
-    from pyspark.sql import Window
-
     out = wide.join(stats, "feature")  # one row per feature
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_importance"), "feature")))
 
