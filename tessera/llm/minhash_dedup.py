@@ -200,7 +200,7 @@ def candidate_edges(reps: DataFrame, least: float) -> DataFrame:
     rows = reps.select("_id", F.posexplode("_nodes").alias("_tree", "_node")).select(
         "_id", "_tree", "_node", F.lit(FIRST).alias("_level"), F.col("_id").alias("_label")
     )
-    edges = []
+    reps, edges = reps.drop("_nodes"), []
     while True:
         nodes = cut(
             rows.groupBy("_node")
@@ -208,22 +208,26 @@ def candidate_edges(reps: DataFrame, least: float) -> DataFrame:
                 F.count("*").alias("_size"),
                 F.min("_label").alias("_low"),
                 F.max("_label").alias("_high"),
-                F.min_by("_id", F.xxhash64("_id", "_node")).alias("_pivot"),
+                F.min_by("_id", F.xxhash64("_id", "_level")).alias("_pivot"),
             )
             .filter(F.col("_low") != F.col("_high"))
             .select("_node", "_size", "_pivot")
         )
         live = rows.join(nodes, "_node")
-        small = live.filter(F.col("_size") <= SMALL).select("_id", "_node", "_label").join(sketches, "_id")
+        small = live.filter(F.col("_size") <= SMALL).select("_id", "_node", "_label").join(sketches.hint("merge"), "_id")
         edges.append(cut(_grouped(small, ["_node"], ["_id"]).mapInPandas(_small_nodes(least, ["_node"]), "a long, b long")))
         if not nodes.filter(F.col("_size") > SMALL).head(1):
             break
+        if not edges[1:]:  # deeper levels read only what large nodes hold
+            held = live.filter(F.col("_size") > SMALL).select("_id").distinct()
+            reps = cut(reps.join(held.hint("merge"), "_id", "left_semi"))
+            sketches = reps.select("_id", "_sketch")
         pivots = nodes.filter(F.col("_size") > SMALL).join(
             sketches.select(F.col("_id").alias("_pivot"), F.col("_sketch").alias("_pivot_sketch")), "_pivot"
         )
         large = cut(
             rows.join(cut(pivots.drop("_size")), "_node")
-            .join(reps.drop("_nodes"), "_id")
+            .join(reps, "_id")
             .mapInPandas(
                 _with_pivot(least),
                 "_id long, _pivot long, _near boolean, _label long, _node long, _tree int, _level int, _deepest boolean",
