@@ -251,7 +251,9 @@ def _in_blocks(rows: DataFrame, content: DataFrame, group: str, compare) -> Data
     `compare` needs of each _id. A group makes (members / BLOCK) x (members outside the main label / BLOCK) blocks.
     """
     rest = F.col("_label") != F.col("_main")
-    sizes = cut(rows.groupBy(group).agg(F.count("*").alias("_m"), F.count_if(rest).alias("_r")).filter("_r > 0"))
+    # grouped by a struct, so that the join deals both sides out anew
+    sizes = rows.groupBy(F.struct(group).alias("_k")).agg(F.count("*").alias("_m"), F.count_if(rest).alias("_r"))
+    sizes = cut(sizes.filter("_r > 0").select(F.col(f"_k.{group}").alias(group), "_m", "_r"))
     chunks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     chunk = lambda n: F.pmod(F.xxhash64("_id"), chunks(n)).cast("int")
     members = rows.join(sizes, group)
@@ -320,7 +322,9 @@ def confirm(groups: DataFrame, texts: DataFrame, percent: int, width: int) -> Da
     labels = cut(labels.join(mains, "component"))
     if not labels.filter(F.col("_label") != F.col("_main")).head(1):
         return found
-    more = _in_blocks(labels, large.select("_id", "_text"), "component", _confirm(percent, width, ["_key"]))
+    # as a struct, the group isn't what the labels are dealt by
+    labels = labels.select("_id", "_label", "_main", F.struct("component").alias("_group"))
+    more = _in_blocks(labels, large.select("_id", "_text"), "_group", _confirm(percent, width, ["_key"]))
     return connected_components(edges.union(more), "a", "b")
 
 
