@@ -727,16 +727,16 @@ def p30(spark, d):
 # learning; rows only: these fits have no SQL equivalent
 
 
+WAVES = [f"f{i}" for i in range(64)]
+
+
 def _wave(spark, d):
-    """Embeddings as eight features of a gene, label 1 for one group."""
+    """Embeddings as features of a gene, one for each component, label 1 for one group."""
     e = views.emb_vec(spark, d)
-    cols = {f"f{i}": F.col("values")[i] + (F.col("group") == 0).cast("int") * (0.15 if i < 3 else 0.0) for i in range(8)}
+    cols = {c: F.col("values")[i] + (F.col("group") == 0).cast("int") * (0.15 if i < 3 else 0.0) for i, c in enumerate(WAVES)}
     return e.select("gene", (F.col("group") == 0).cast("int").alias("label"), *(v.alias(k) for k, v in cols.items()))
 
 
-WAVES = [f"f{i}" for i in range(8)]
-
-
 def _fit_score(model):
     def run(spark, d):
         df = features.split(_wave(spark, d))
@@ -745,11 +745,11 @@ def _fit_score(model):
     return run
 
 
-query("m07_random_forest")(_fit_score(lambda: ml.models(trees=20)["random_forest"]))
-query("m08_gradient_boosting")(_fit_score(lambda: ml.models(rounds=5)["gradient_boosting"]))
+query("m07_random_forest")(_fit_score(lambda: ml.models()["random_forest"]))
+query("m08_gradient_boosting")(_fit_score(lambda: ml.models()["gradient_boosting"]))
 query("m09_logistic_regression")(_fit_score(lambda: ml.models()["logistic_regression"]))
-query("m10_extra_trees")(_fit_score(lambda: ml.ExtraTrees(20)))
-query("m11_rbf_svm")(_fit_score(lambda: ml.RbfSvm(64)))
+query("m10_extra_trees")(_fit_score(lambda: ml.models()["extra_trees"]))
+query("m11_rbf_svm")(_fit_score(lambda: ml.RbfSvm()))
 
 
 @query("m03_pca")
@@ -764,15 +764,14 @@ def m12(spark, d):
 
 @query("m14_m16_cross_validation")
 def m14(spark, d):
-    df = features.folds(_wave(spark, d), 2)
-    return ml.cv_table(ml.cross_validate(df, WAVES, {"logistic_regression": ml.models()["logistic_regression"]}))
+    return ml.cv_table(ml.cross_validate(features.folds(_wave(spark, d)), WAVES, ml.models()))
 
 
 @query("m20_m21_importance")
 def m20(spark, d):
-    df = _wave(spark, d).select("gene", "label", "f0", "f7")
-    model = ml.models()["logistic_regression"].fit(df, ["f0", "f7"])
-    drops = ml.permutation_importance(model, df, ["f0", "f7"], 1)
+    df = _wave(spark, d)
+    model = ml.models()["logistic_regression"].fit(df, WAVES)
+    drops = ml.permutation_importance(model, df, WAVES)
     return ml.importance_table(spark, {"coefficient": model.importance(), "permutation": {r["feature"]: r["importance"] for r in drops.collect()}})
 
 
