@@ -29,6 +29,7 @@ class EngineConfig:
     primary_metric: str = "auprc"
     undersample: bool = True
     smote: bool = False
+    importance_repeats: int = 10
     legacy_scaler: bool = False  # score with a scaler fitted on all rows instead of the training rows
     # evaluation and ranking
     threshold_strategy: str = "f1"

@@ -168,7 +168,7 @@ class Engine:
     def _importance(self):
         name, model = self._best()
         methods = {name: model.importance()} if hasattr(model, "importance") else {}
-        drops = ml.permutation_importance(model, self.table("holdout"), self._columns(), repeats=1, seed=self.config.seed)
+        drops = ml.permutation_importance(model, self.table("holdout"), self._columns(), self.config.importance_repeats, self.config.seed)
         methods["permutation"] = {r["feature"]: r["importance"] or 0.0 for r in drops.collect()}  # a row per feature
         return {"feature_importance": ml.importance_table(self.spark, methods)}
 

@@ -1,7 +1,9 @@
 import pytest
 
+from tessera.config import EngineConfig
 from tessera.operators import ml
 from tessera.plans import catalog
+from tessera.plans.engine import Engine, Inputs
 
 
 class Caught(Exception):
@@ -47,3 +49,23 @@ def test_cross_validation_and_importance_queries_are_whole(spark, monkeypatch):
     for name in ("m14_m16_cross_validation", "m20_m21_importance"):
         with pytest.raises(Caught):
             catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+
+
+class Sum:
+    """A model whose score is the sum of its columns."""
+
+    def score(self, df):
+        return df.selectExpr("gene", "label", "a + b + c AS score")
+
+
+def test_engine_permutes_ten_times(spark, tmp_path):
+    rows = [(f"g{i}", float(i * 7 % 10), float(i * 3 % 10), float(i * 9 % 13), int(i * 7 % 10 + i * 3 % 10 > 9)) for i in range(40)]
+    df = spark.createDataFrame(rows, "gene string, a double, b double, c double, label int")
+    engine = Engine(spark, Inputs(df, df), EngineConfig(output=str(tmp_path)))
+    df.write.parquet(f"{engine.path('holdout')}.parquet")
+    df.drop("label").write.parquet(f"{engine.path('features')}.parquet")
+    engine.fitted = ("sum", Sum())
+    got = {r.feature: r.permutation for r in engine._importance()["feature_importance"].collect()}
+    drops = {r.feature: max(r.importance, 0.0) for r in ml.permutation_importance(Sum(), df, ["a", "b", "c"], 10, 42).collect()}
+    low, high = min(drops.values()), max(drops.values())
+    assert got == pytest.approx({f: (v - low) / (high - low) for f, v in drops.items()})
