@@ -7,6 +7,8 @@ import html
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ordered import running
+
 
 def summary_table(engine) -> DataFrame:
     """The ranking with network and expression columns, by rank; doubles rounded to 6 places."""
@@ -24,13 +26,31 @@ def text_of(df: DataFrame, rows: int = 20) -> str:
 
 
 def volcano(de: DataFrame) -> DataFrame:
-    """gene, x, y, size, direction: -log10 adjusted p not finite takes the 99.9 % quantile; sizes grow with the change."""
+    """gene, x, y, size, direction: -log10 adjusted p missing or not finite takes the 99.9 % quantile; sizes grow with the change."""
     top = de.agg(F.percentile(F.when(F.abs("neg_log10_padj") != float("inf"), F.col("neg_log10_padj")), 0.999).alias("_top"))
-    y = F.when(F.isnan("neg_log10_padj") | (F.abs("neg_log10_padj") == float("inf")), F.col("_top")).otherwise(F.col("neg_log10_padj"))
+    y = F.when(F.col("neg_log10_padj").isNull() | F.isnan("neg_log10_padj") | (F.abs("neg_log10_padj") == float("inf")), F.col("_top")).otherwise(F.col("neg_log10_padj"))
     size = F.round(F.least(F.abs("log2fc"), F.lit(8.0)) * 2 + 4, 1)
     return de.crossJoin(F.broadcast(top)).select("gene", F.col("log2fc").alias("x"), y.alias("y"), size.alias("size"), "direction")
 
 
+def thinned(df: DataFrame, by: str = "score", most: int = 2000) -> DataFrame:
+    """At most so many rows of a curve, evenly over the descending order of `by` (distinct values), both ends kept."""
+    n = df.count()
+    if n <= most:
+        return df
+    step = lambda i: F.floor(i * F.lit(most - 1) / F.lit(n - 1))
+    placed = running(df.withColumn("_one", F.lit(1)), by, {"_at": ("sum", "_one")}, descending=True)
+    return placed.filter((F.col("_at") == 1) | (step(F.col("_at") - 1) > step(F.col("_at") - 2))).drop("_one", "_at")
+
+
+def in_cells(points: DataFrame, across: int = 290, up: int = 170) -> DataFrame:
+    """x, y, direction, n: the mean of all points of a direction in each cell of a plot, so that none is left out."""
+    box = points.agg(F.min("x").alias("_x"), F.max("x").alias("_xx"), F.min("y").alias("_y"), F.max("y").alias("_yy"))
+    cell = lambda v, lo, hi, n: F.floor(F.coalesce(F.try_divide(F.col(v) - F.col(lo), F.col(hi) - F.col(lo)), F.lit(0.0)) * n)
+    placed = points.crossJoin(F.broadcast(box)).withColumns({"_i": cell("x", "_x", "_xx", across), "_j": cell("y", "_y", "_yy", up)})
+    return placed.groupBy("_i", "_j", "direction").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n")).drop("_i", "_j")
+
+
 def svg_scatter(points: list[tuple[float, float, str]], title: str, width: int = 640, height: int = 400) -> str:
     """A scatter plot; each point is x, y and a colour."""
     xs, ys = [p[0] for p in points] or [0.0], [p[1] for p in points] or [0.0]
@@ -58,15 +78,16 @@ COLOURS = {"up": "#c44e52", "down": "#4c72b0", "ns": "#bbbbbb"}
 
 
 def figures(engine) -> dict[str, str]:
-    """Figures from plot tables of bounded size: at most 2000 points each."""
-    v = volcano(engine.table("de_results")).orderBy(F.desc("y"), "gene").limit(2000).collect()
+    """Figures from plot tables of bounded size: curves thinned to 2000 points, all genes of the volcano in cells of two pixels."""
+    drawn = volcano(engine.table("de_results")).filter(F.col("x").isNotNull() & ~F.isnan("x") & F.col("y").isNotNull())
+    v = in_cells(drawn).orderBy(F.col("direction") != "ns", "y", "x").collect()  # a row per cell; changed genes on top
     out = {"Differential": svg_scatter([(r.x, r.y, COLOURS[r.direction]) for r in v], "log2 fold change against -log10 adjusted p")}
     qc = engine.table("qc_summary").collect()
     out["Quality control"] = svg_bars([(f"{r.dataset} {r.stage}", r.n_genes) for r in qc], "Genes by stage")
     cv = engine.table("cv_results").select("model", "mean_auprc").collect()
     out["Models"] = svg_bars([(r.model, r.mean_auprc or 0) for r in cv], "Mean AUPRC by model")
     for name, table, x, y in (("ROC", "roc", "fpr", "tpr"), ("Precision and recall", "pr", "recall", "precision")):
-        rows = engine.table(table).orderBy(F.desc("score")).limit(2000).collect()
+        rows = thinned(engine.table(table)).orderBy(F.desc("score")).collect()
         out[name] = svg_scatter([(r[x] or 0, r[y] or 0, "#333") for r in rows], name)
     imp = engine.table("feature_importance").orderBy("rank").limit(20).collect()
     out["Importance"] = svg_bars([(r.feature, r.mean_importance) for r in imp], "Feature importance")

@@ -2,7 +2,7 @@ import pytest
 
 from tessera.config import EngineConfig
 from tessera.operators import ml
-from tessera.plans import catalog
+from tessera.plans import catalog, report
 from tessera.plans.engine import Engine, Inputs
 
 
@@ -69,3 +69,28 @@ def test_engine_permutes_ten_times(spark, tmp_path):
     drops = {r.feature: max(r.importance, 0.0) for r in ml.permutation_importance(Sum(), df, ["a", "b", "c"], 10, 42).collect()}
     low, high = min(drops.values()), max(drops.values())
     assert got == pytest.approx({f: (v - low) / (high - low) for f, v in drops.items()})
+
+
+def test_figures_draw_whole_curves_and_all_genes(spark, monkeypatch):
+    n = 5000
+    inf = float("inf")
+    genes = [(f"g{i}", i / n - 0.5, inf if i == 0 else None if i == 1 else i / 100, "up" if i > n // 2 else "ns") for i in range(n)]
+    points = [(1 - i / n, (i + 1) / n, (i + 1) / n, 1.0) for i in range(n)]
+    tables = {
+        "de_results": spark.createDataFrame(genes, "gene string, log2fc double, neg_log10_padj double, direction string"),
+        "roc": spark.createDataFrame(points, "score double, fpr double, tpr double, _ double").drop("_"),
+        "pr": spark.createDataFrame(points, "score double, _ double, recall double, precision double").drop("_"),
+    }
+    other = spark.createDataFrame([("a", "b", "c", 1, 0.5, 1, 0.5, "f", "g", 0.5)], "dataset string, stage string, model string, n_genes int, mean_auprc double, rank int, mean_importance double, feature string, gene string, predicted_prob double")
+    engine = type("Tables", (), {"table": lambda self, name: tables.get(name, other)})()
+    drawn = {}
+    monkeypatch.setattr(report, "svg_scatter", lambda points, title: drawn.setdefault(title, points) and title)
+    report.figures(engine)
+    for title in ("ROC", "Precision and recall"):
+        x = [p[0] for p in drawn[title]]
+        assert len(x) == 2000 and x[0] == pytest.approx(1 / n) and x[-1] == 1.0
+        assert max(b - a for a, b in zip(x, x[1:])) <= 3.01 / n
+    volcano = drawn["log2 fold change against -log10 adjusted p"]
+    assert {c for _, _, c in volcano} == {report.COLOURS["up"], report.COLOURS["ns"]}
+    assert min(p[0] for p in volcano) < -0.49
+    assert report.in_cells(report.volcano(tables["de_results"])).agg({"n": "sum"}).first()[0] == n
