@@ -373,9 +373,13 @@ def differential_network(case: DataFrame, control: DataFrame) -> DataFrame:
     return out.withColumn("difference", F.col("r_case") - F.col("r_control"))
 
 
-def spring_layout(edges: DataFrame, nodes: DataFrame, k: float = 1.8, iterations: int = 80, seed: int = 42, most: int = 150) -> DataFrame:
-    """gene, x, y of the `most` first nodes by gene, by force-directed placement in one task (a plot holds few nodes)."""
-    chosen = nodes.select("gene").orderBy("gene").limit(most)
+def spring_layout(edges: DataFrame, nodes: DataFrame, ranking: DataFrame, k: float = 1.8, iterations: int = 80, seed: int = 42, most: int = 150) -> DataFrame:
+    """gene, x, y of the `most` nodes of least rank, ties by gene, by force-directed placement in one task (a plot holds few nodes).
+
+    Nodes without a rank are left out.
+    """
+    ranked = ranking.filter(F.col("rank").isNotNull()).select("gene", "rank")
+    chosen = nodes.select("gene").join(ranked, "gene").orderBy("rank", "gene").limit(most).select("gene")
     kind = nodes.schema["gene"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -533,7 +533,8 @@ def g13(spark, d):
 
 @query("g18_spring_layout")
 def g18(spark, d):
-    return graph.spring_layout(_edges(spark, d), _nodes(spark, d))
+    s = _emb_ranking(spark, d)
+    return graph.spring_layout(_edges(spark, d), _nodes(spark, d), metrics.rank_genes(s, s.select("gene", "label")))
 
 
 # evaluation and ranking

@@ -7,6 +7,7 @@ import html
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import graph
 from tessera.operators.ordered import running
 
 
@@ -59,6 +60,18 @@ def svg_scatter(points: list[tuple[float, float, str]], title: str, width: int =
     return f'<svg viewBox="0 0 {width} {height}" role="img"><title>{html.escape(title)}</title><rect width="100%" height="100%" fill="#fff"/>{dots}</svg>'
 
 
+def svg_network(places: dict[str, tuple[float, float]], edges: list[tuple[str, str, bool]], title: str, size: int = 640) -> str:
+    """Nodes at their places and edges (two nodes, positive or not) between them."""
+    xs, ys = [p[0] for p in places.values()] or [0.0], [p[1] for p in places.values()] or [0.0]
+    at = lambda v, all_v: 30 + (v - min(all_v)) / ((max(all_v) - min(all_v)) or 1) * (size - 60)
+    drawn = {g: (at(x, xs), at(y, ys)) for g, (x, y) in places.items()}
+    lines = "".join(
+        f'<line x1="{drawn[a][0]:.1f}" y1="{drawn[a][1]:.1f}" x2="{drawn[b][0]:.1f}" y2="{drawn[b][1]:.1f}" stroke="{"#4a90d9" if up else "#e05a5a"}" stroke-opacity="0.4"/>' for a, b, up in edges
+    )
+    dots = "".join(f'<circle cx="{x:.1f}" cy="{y:.1f}" r="4" fill="#333"><title>{html.escape(str(g))}</title></circle>' for g, (x, y) in drawn.items())
+    return f'<svg viewBox="0 0 {size} {size}" role="img"><title>{html.escape(title)}</title><rect width="100%" height="100%" fill="#fff"/>{lines}{dots}</svg>'
+
+
 def svg_bars(rows: list[tuple[str, float]], title: str, width: int = 640) -> str:
     top = max((v for _, v in rows), default=1) or 1
     bars = "".join(
@@ -93,6 +106,12 @@ def figures(engine) -> dict[str, str]:
     out["Importance"] = svg_bars([(r.feature, r.mean_importance) for r in imp], "Feature importance")
     top = engine.table("gene_rankings").orderBy("rank", "gene").limit(30).collect()
     out["Ranking"] = svg_bars([(r.gene, r.predicted_prob) for r in top], "Probability")
+    edges = engine.table("annotated_edges")
+    placed = graph.spring_layout(edges, engine.table("nodes"), engine.table("gene_rankings")).cache()
+    places = {r.gene: (r.x, r.y) for r in placed.collect()}  # at most 150
+    links = graph.induced(edges, placed).select("gene_a", "gene_b", F.col("weight") >= 0).collect()
+    out["Network"] = svg_network(places, links, "Network of the 150 best-ranked genes")
+    placed.unpersist()
     return out
 
 

@@ -1,7 +1,7 @@
 import pytest
 
 from tessera.config import EngineConfig
-from tessera.operators import ml
+from tessera.operators import graph, ml
 from tessera.plans import catalog, report
 from tessera.plans.engine import Engine, Inputs
 
@@ -82,10 +82,14 @@ def test_figures_draw_whole_curves_and_all_genes(spark, monkeypatch):
         "pr": spark.createDataFrame(points, "score double, _ double, recall double, precision double").drop("_"),
     }
     other = spark.createDataFrame([("a", "b", "c", 1, 0.5, 1, 0.5, "f", "g", 0.5)], "dataset string, stage string, model string, n_genes int, mean_auprc double, rank int, mean_importance double, feature string, gene string, predicted_prob double")
+    tables["nodes"] = spark.createDataFrame([("c",), ("d",), ("e",)], "gene string")
+    tables["gene_rankings"] = spark.createDataFrame([("c", 1, 0.5), ("d", 2, 0.5)], "gene string, rank int, predicted_prob double")
+    tables["annotated_edges"] = spark.createDataFrame([("c", "d", -0.8, 0.8), ("d", "e", 0.8, 0.8)], "gene_a string, gene_b string, weight double, abs_weight double")
     engine = type("Tables", (), {"table": lambda self, name: tables.get(name, other)})()
     drawn = {}
     monkeypatch.setattr(report, "svg_scatter", lambda points, title: drawn.setdefault(title, points) and title)
-    report.figures(engine)
+    page = report.figures(engine)["Network"]
+    assert page.count("<circle") == 2 and page.count("<line") == 1
     for title in ("ROC", "Precision and recall"):
         x = [p[0] for p in drawn[title]]
         assert len(x) == 2000 and x[0] == pytest.approx(1 / n) and x[-1] == 1.0
@@ -94,3 +98,12 @@ def test_figures_draw_whole_curves_and_all_genes(spark, monkeypatch):
     assert {c for _, _, c in volcano} == {report.COLOURS["up"], report.COLOURS["ns"]}
     assert min(p[0] for p in volcano) < -0.49
     assert report.in_cells(report.volcano(tables["de_results"])).agg({"n": "sum"}).first()[0] == n
+
+
+def test_layout_takes_the_best_ranked(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(200)], "gene long")
+    edges = spark.createDataFrame([(i, i + 1, 0.5, 0.5) for i in range(199)], "gene_a long, gene_b long, weight double, abs_weight double")
+    ranking = spark.createDataFrame([(i, None if i == 199 else (200 - i) // 2) for i in range(201)], "gene long, rank int")
+    got = {r.gene for r in graph.spring_layout(edges, nodes, ranking, most=4).collect()}
+    assert got == {197, 198, 195, 196}
+    assert len({r.gene for r in graph.spring_layout(edges, nodes, ranking).collect()} & set(range(49, 199))) == 150
