@@ -1,6 +1,6 @@
-"""Licence scan: sparse TF-IDF cosine of lines to licence templates, then inheritance from the nearest directory above.
+"""Licence scan: sparse TF-IDF cosine of lines and runs of words to licence templates, then inheritance from the nearest directory above.
 
-DataFrame expressions only. A line can reach the threshold only if it holds one of a template's heavy words: the words
+DataFrame expressions only. A line or run can reach the threshold only if it holds one of a template's heavy words: the words
 outside are too light together. So a text without heavy words is left after one pass over it, and no licence is lost.
 """
 
@@ -10,7 +10,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, or_empty
@@ -62,13 +62,50 @@ def heavy_words(rows: list[tuple[str, str, str, float]], threshold: float) -> li
     return sorted(heavy)
 
 
+def alignments(templates: dict[str, list[str]], heavy: list[str]) -> dict[str, list[tuple[int, int]]]:
+    """For each heavy word, (words before it, words in all) of each place where a template has it."""
+    found: dict[str, set[tuple[int, int]]] = {w: set() for w in heavy}
+    for text in (t for group in templates.values() for t in group):
+        words = re.findall(WORD, text.lower())
+        for i, w in enumerate(words):
+            if w in found:
+                found[w].add((i, len(words)))
+    return {w: sorted(x) for w, x in found.items()}
+
+
+def windows(text: Column, places: dict[str, list[tuple[int, int]]]) -> Column:
+    """Distinct runs of adjacent words, as long as a template, with a heavy word where the template has it.
+
+    Words are those of the whole text, so a notice is met inside a longer line and across line breaks.
+    """
+    words = F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
+
+    def around(w: Column) -> Column:
+        at = F.filter(F.transform(w, lambda x, i: F.when(x.isin(list(places)), i)), lambda i: i.isNotNull())
+
+        def of(i: Column) -> Column:
+            own = F.get(w, i)
+            runs = None
+            for word, shapes in places.items():
+                pairs = F.array(*(F.struct(F.lit(k).alias("before"), F.lit(n).alias("long")) for k, n in shapes))
+                runs = F.when(own == word, pairs) if runs is None else runs.when(own == word, pairs)
+            return F.transform(
+                runs, lambda r: F.array_join(F.slice(w, F.greatest(i - r["before"], F.lit(0)) + 1, r["long"] + F.least(i - r["before"], F.lit(0))), " ")
+            )
+
+        return F.array_distinct(F.flatten(F.transform(at, of)))
+
+    return F.get(F.transform(F.array(words), around), F.lit(0))  # the words are found once
+
+
 def scan_licences(
     files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD
 ) -> DataFrame:
     """The licence of each file: its own, or that of the licence file in the nearest directory at or above it.
 
-    Every line of the whole text is compared, in lower case and by words of [a-z0-9], with every template; a file's own
-    licence is that of its best line with cosine >= threshold (ties: first by name). A licence file (LICENSE, COPYING or
+    Every line of the whole text, and every run of adjacent words around a heavy word as long as a template that has the
+    word (inside a line or across line breaks), is compared, in lower case and by words of [a-z0-9], with every template;
+    a file's own licence is that of its best line or run with cosine >= threshold (ties: first by name). A licence file (LICENSE, COPYING or
     NOTICE, with any suffix) passes its own licence on to its directory and all below; of several in a directory the best
     score, then the least id, counts. A file with a licence of its own doesn't inherit.
 
@@ -82,11 +119,14 @@ def scan_licences(
     spark = files.sparkSession
     vocabulary = F.broadcast(spark.createDataFrame(rows, "licence string, template string, word string, weight double"))
     known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "word string, idf double"))
-    heavy = r"(?i)(?<![a-z0-9])(?:" + "|".join(heavy_words(rows, threshold)) + r")(?![a-z0-9])"
+    loud = heavy_words(rows, threshold)
+    places = alignments(templates or TEMPLATES, loud)
+    heavy = r"(?i)(?<![a-z0-9])(?:" + "|".join(loud) + r")(?![a-z0-9])"
     text = or_empty(text_col)
     path = F.regexp_replace(F.col(path_col).cast("string"), "/+", "/")
     # a heavy word is looked for in the text before it is cut to lines
-    listed = F.when(text.rlike(heavy), F.filter(F.split(text, "\n"), lambda line: line.rlike(heavy))).otherwise(F.array().cast("array<string>"))
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(heavy))
+    listed = F.when(text.rlike(heavy), F.concat(lines, windows(text, places))).otherwise(F.array().cast("array<string>"))
     base = cut(files.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), path.alias("_path"), listed.alias("_lines")))
     words = base.select("_row", F.posexplode("_lines").alias("_line", "_text")).select("_row", "_line", F.explode(F.expr(f"regexp_extract_all(lower(_text), '{WORD}', 0)")).alias("word"))
     counted = words.groupBy("_row", "_line", "word").agg(F.count("*").alias("_n"))

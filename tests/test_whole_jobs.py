@@ -1,6 +1,7 @@
 import pytest
 
 from tessera.config import EngineConfig
+from tessera.llm.license_scan import TEMPLATES, scan_licences
 from tessera.operators import graph, ml
 from tessera.plans import catalog, report
 from tessera.plans.engine import Engine, Inputs
@@ -107,3 +108,14 @@ def test_layout_takes_the_best_ranked(spark):
     got = {r.gene for r in graph.spring_layout(edges, nodes, ranking, most=4).collect()}
     assert got == {197, 198, 195, 196}
     assert len({r.gene for r in graph.spring_layout(edges, nodes, ranking).collect()} & set(range(49, 199))) == 150
+
+
+def test_notices_in_long_lines_and_across_breaks(spark):
+    mit = TEMPLATES["MIT"][1] + ' (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies'
+    gpl = TEMPLATES["GPL-3.0"][1] + " as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    bsd = TEMPLATES["BSD-3-Clause"][0].replace("or without", "or\nwithout").replace("that the", "that the\n")
+    inline = "some prose about many other things that we saw on the way home. Released under the MIT License."
+    texts = [mit, gpl, bsd, inline, inline[::-1], "we saw the MIT campus and a license plate", ("word " * 30 + "license ") * 300 + inline]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "concat('d', doc_id, '/LICENSE') AS path", "text")
+    got = {r.doc_id: r.own_licence for r in scan_licences(df).collect()}
+    assert [got[i] for i in range(7)] == ["MIT", "GPL-3.0", "BSD-3-Clause", "MIT", None, None, "MIT"]
