@@ -3,10 +3,11 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.functions.special import log_gamma, student_two_sided
 from tessera.operators import clean, enrich, features, graph, metrics, ml, stats
-from tessera.operators.ordered import benjamini_hochberg, ranks, running
+from tessera.operators.ordered import benjamini_hochberg, running, with_ranks
 
 
 def test_log_gamma_and_student():
@@ -36,13 +37,31 @@ def test_running_and_ranks_do_not_depend_on_partitions(spark, parts):
         distinct = df.groupBy("v").count().filter("v IS NOT NULL")
         out = [r["total"] for r in running(distinct, "v", {"total": ("sum", "count")}).orderBy("v").collect()]
         assert out == np.cumsum([8] + [7] * 6).tolist()
-        found = {r["_v"]: (r.min_rank, r.average_rank) for r in ranks(df, "v").collect()}
-        want = pd.Series([x % 7 for x in range(50)])
-        assert found[3.0] == (want.rank(method="min")[3], want.rank()[3]) and found[None] == (51, 51.0)
+        hot = [1.0] * 40 + [2.0, 0.5, 0.5, 3.0] + [4.0] * 30
+        rows = [(x, i) for i, x in enumerate(hot)] + [(None, 99), (None, 100)]
+        for down in (False, True):
+            found = {r.n: (r.v, r.min_rank, r.average_rank) for r in with_ranks(spark.createDataFrame(rows, "v double, n long"), "v", down).collect()}
+            want = pd.Series([np.nan if v is None else v for v, _ in rows])
+            low, mean = (want.rank(method=m, ascending=not down, na_option="bottom") for m in ("min", "average"))
+            assert found == {n: (v, low[i], mean[i]) for i, (v, n) in enumerate(rows)}
+        q = {r.n: r.q for r in benjamini_hochberg(spark.createDataFrame([(v and v / 100, n) for v, n in rows], "v double, n long"), "v", "q").collect()}
+        known = sorted(v / 100 for v in hot)
+        assert all(x is None if v is None else x == pytest.approx(min(1, min(p * len(known) / (i + 1) for i, p in enumerate(known) if p >= v / 100))) for (v, n) in rows for x in [q[n]])
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
+def test_ranks_do_not_compute_a_value_twice(spark):
+    @F.pandas_udf("double")
+    def shaky(x: pd.Series) -> pd.Series:
+        return x * (1 + 1e-15 * np.random.default_rng().random(len(x)))
+
+    df = spark.range(200).select("id", shaky((F.col("id") % 50 + 1.5) / 60).alias("p"))
+    rows = benjamini_hochberg(df, "p", "q").collect()
+    assert len(rows) == 200 and all(r.q is not None and r.q >= r.p for r in rows)
+    assert all(r.min_rank is not None for r in with_ranks(df, "p").collect())
+
+
 def hand_made(spark):
     rng = np.random.default_rng(0)
     rows = []
