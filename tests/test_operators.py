@@ -108,7 +108,7 @@ def network(spark, pairs):
 def test_distances_on_a_path_and_a_star(spark, local):
     nodes = spark.createDataFrame([(x,) for x in "abcdwxyz"], "gene string")
     edges = network(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("w", "x"), ("w", "y")])
-    got = {r.gene: r for r in graph.distance_measures(edges, nodes, local_edges=100 if local else 0).collect()}
+    got = {r.gene: r for r in graph.distance_measures(edges, nodes, local_links=100 if local else 0).collect()}
     scale = 1 / (7 * 6)
     assert [got[g].betweenness_centrality for g in "abcdwz"] == pytest.approx([0, 4 * scale, 4 * scale, 0, 2 * scale, 0])
     assert got["a"].closeness_centrality == pytest.approx(3 / 6 * 3 / 7)
@@ -119,7 +119,7 @@ def test_distances_on_a_path_and_a_star(spark, local):
 def test_eigenvector_of_a_triangle(spark, local):
     nodes = spark.createDataFrame([(x,) for x in "abc"], "gene string")
     edges = network(spark, [("a", "b"), ("b", "c"), ("a", "c")])
-    got = [r.eigenvector_centrality for r in graph.eigenvector(edges, nodes, local_edges=100 if local else 0).collect()]
+    got = [r.eigenvector_centrality for r in graph.eigenvector(edges, nodes, local_links=100 if local else 0).collect()]
     assert got == pytest.approx([3**-0.5] * 3, abs=1e-5)
 
 
