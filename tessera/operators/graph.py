@@ -78,7 +78,7 @@ def correlation_edges(genes: DataFrame, cutoff: float = 0.70, method: str = "pea
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         low, high = key
-        sides = {r.blk: (np.array(r.genes, object), np.frombuffer(r.x).reshape(len(r.genes), -1)) for r in pdf.itertuples(index=False)}
+        sides = {r.blk: (np.array(r.genes, object if kind == "string" else None), np.frombuffer(r.x).reshape(len(r.genes), -1)) for r in pdf.itertuples(index=False)}
         if low not in sides or high not in sides:
             return pd.DataFrame({"gene_a": [], "gene_b": [], "correlation": []})
         (left, a), (right, b) = sides[low], sides[high]
@@ -90,8 +90,7 @@ def correlation_edges(genes: DataFrame, cutoff: float = 0.70, method: str = "pea
         i, j = np.nonzero(hit)
         x, y = left[i], right[j]
         swap = np.array(x > y, bool)
-        ends = {"gene_a": np.where(swap, y, x), "gene_b": np.where(swap, x, y)}
-        return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in ends.items()} | {"correlation": r[i, j]})
+        return pd.DataFrame({"gene_a": np.where(swap, y, x), "gene_b": np.where(swap, x, y), "correlation": r[i, j]})
 
     own = genes.select("gene", "values", F.pmod(F.xxhash64("gene"), F.lit(blocks)).cast("int").alias("blk"))
     rows = own.groupBy("blk").applyInPandas(blocked, f"blk int, genes array<{kind}>, x binary")
@@ -125,12 +124,12 @@ def neighbour_degree(edges: DataFrame) -> DataFrame:
 
 
 def _clustering(graph: packed.Packed, degree: np.ndarray, use_weights: bool) -> DataFrame:
-    top = 1.0
+    top = None
     if use_weights and graph.links:
         top = max(r.top for r in graph.rows(lambda first, ptr, cols, w: pd.DataFrame({"top": [w.max(initial=0.0)]}), "top double").collect())  # a number for each block
-    found = packed.triangles(graph, degree, top or 1.0)
+    found = packed.triangles(graph, degree, top)
     d = graph.index.join(graph.named({"_d": degree}), "gene").filter("_d > 0")
-    c = F.coalesce(F.try_divide(2 * F.col("t" if use_weights else "k"), F.col("_d") * (F.col("_d") - 1)), F.lit(0.0))
+    c = F.coalesce(F.try_divide(2 * F.col("t"), F.col("_d") * (F.col("_d") - 1)), F.lit(0.0))
     return d.join(found, "node", "left").select("gene", c.alias("clustering_coefficient"))
 
 
@@ -217,7 +216,7 @@ def statistics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     m = int(degree.sum()) // 2
     sizes = np.unique(packed.labels(graph), return_counts=True)[1]
     wedges = F.col("_d") * (F.col("_d") - 1)
-    local = packed.triangles(graph, degree).join(graph.index.join(graph.named({"_d": degree}), "gene"), "node").agg(F.sum(2 * F.col("k") / wedges).alias("s")).first().s
+    local = packed.triangles(graph, degree).join(graph.index.join(graph.named({"_d": degree}), "gene"), "node").agg(F.sum(2 * F.col("t") / wedges).alias("s")).first().s
     r = packed.assortativity(graph, degree)
     found = {
         "n_nodes": n, "n_edges": m, "density": round(2 * m / (n * (n - 1)), 8) if n > 1 else 0, "avg_degree": round(2 * m / max(n, 1), 6),

@@ -48,8 +48,8 @@ def test_like_brute_force(spark, monkeypatch, local_links):
     i, j = np.nonzero(np.triu(w))
     edges = spark.createDataFrame([(f"g{a:02}", f"g{b:02}", float(w[a, b])) for a, b in zip(i.tolist(), j.tolist(), strict=True)], "gene_a string, gene_b string, abs_weight double")
     nodes = spark.createDataFrame([(f"g{a:02}",) for a in range(len(w))], "gene string")
-    g = packed.pack(edges, nodes, local_links, entries=60)
-    assert g.blocks.count() > 3
+    g = packed.pack(edges, nodes, local_links, side=20)
+    assert g.blocks.count() == 3
     node = {r.node: int(r.gene[1:]) for r in g.index.collect()}
     at = np.array([node[k] for k in range(g.n)])
     share, reach, far, root, weighted, plain = (x[at] for x in brute(w))
@@ -59,9 +59,9 @@ def test_like_brute_force(spark, monkeypatch, local_links):
     assert got[0] == pytest.approx(share) and got[1].tolist() == reach.tolist() and got[2].tolist() == far.tolist()
     label = packed.labels(g)
     assert (label[:, None] == label[None]).tolist() == (root[:, None] == root[None]).tolist()
-    found = {r.node: (r.t, r.k) for r in packed.triangles(g, degree, pair_links=40).collect()}
-    assert {k: v[1] for k, v in found.items()} == {k: int(x) for k, x in enumerate(plain) if x}
-    assert all(found[k][0] == pytest.approx(weighted[k]) for k in found)
+    for top, want in ((None, plain), (1.0, weighted), (0.5, weighted / 0.5)):
+        found = {r.node: r.t for r in packed.triangles(g, degree, top, pair_links=40).collect()}
+        assert found == pytest.approx({k: float(x) for k, x in enumerate(want) if x})
     x = packed.eigenvector(g, 1000, 1e-9)
     values, vectors = np.linalg.eigh(w)
     assert np.abs(x) == pytest.approx(np.abs(vectors[:, -1])[at], abs=1e-4)
