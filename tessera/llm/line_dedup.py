@@ -59,35 +59,40 @@ def _reassembled(min_chars: int):
     return run
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_chars: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_chars: int = 20, carry: tuple[str, ...] = (), counts: bool = True) -> DataFrame:
     """Drop lines that many documents share.
 
     Texts are split at \\n. A line's key is the line without U+0020 and U+0009..U+000D at both ends and with A-Z
     lowered. A key of at least `min_chars` code points that at least `min_docs` documents hold loses all its lines,
     except in the largest id that holds it; the other lines stay, joined by \\n.
 
-    Returns one row per input row: id_col, text_col (what stays), n_lines (before), n_dropped, and the columns in `carry`. A null text is the empty
-    text, and an empty text is one empty line. A line that repeats inside a document counts once for it. Each
-    row counts as a document, rows that repeat an id too. A null id is never the largest one while another holds the
-    key. Keys are compared by a 128-bit hash. An empty table gives no rows; other columns are ignored.
+    Returns one row per input row: id_col, text_col (what stays), n_lines (before), n_dropped, and the columns in `carry`
+    (one named like a result isn't carried; without `counts` n_lines and n_dropped aren't results). A null text is the
+    empty text, and an empty text is one empty line. A line that repeats inside a document counts once for it. Rows that
+    repeat an id are one document; each row without an id is one of its own, and a null id is never the largest one
+    while another holds the key. Keys are compared by a 128-bit hash. An empty table gives no rows; other columns are
+    ignored, whatever their names.
 
     Scale: only (hash, id) pairs and the keys over the threshold are shuffled besides one exchange of the texts by id;
     counts are combined before the exchange, so a line in a third of all documents makes no large task.
     """
+    results = {id_col, text_col} | ({"n_lines", "n_dropped"} if counts else set())
+    carry = tuple(c for c in carry if c not in results)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
     id_type = rows.schema["_id"].dataType.simpleString()
     pairs = cut(rows.select("_id", "_text").mapInPandas(_exploded(min_chars), f"_hash binary, _id {id_type}"))
-    common = pairs.groupBy("_hash").agg(F.count("*").alias("_n"), F.max("_id").alias("_last")).filter(F.col("_n") >= min_docs)
-    # written, so that the join reads two exchanges and a hash that many documents hold can be split among tasks
+    # hashes of enough rows, then of enough documents; each list is written, so that the joins read two exchanges and a
+    # hash that many documents hold can be split among tasks
+    often = cut(pairs.groupBy("_hash").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_docs).select("_hash"))
+    documents = F.count_distinct("_id") + F.count_if(F.col("_id").isNull())
+    common = pairs.join(often, "_hash").groupBy("_hash").agg(documents.alias("_n"), F.max("_id").alias("_last"))
     drops = (
-        pairs.join(cut(common.drop("_n")), "_hash")
+        pairs.join(cut(common.filter(F.col("_n") >= min_docs).drop("_n")), "_hash")
         .filter(~F.col("_id").eqNullSafe(F.col("_last")))
         .groupBy(F.col("_id").alias("_of"))
         .agg(F.collect_set("_hash").alias("_drop"))
     )
-    return (
-        rows.join(drops, F.col("_id").eqNullSafe(F.col("_of")), "left")
-        .select(*rows.columns, "_drop")
-        .mapInPandas(_reassembled(min_chars), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", n_lines long, n_dropped long")
-        .withColumnsRenamed({"_id": id_col, "_text": text_col} | {f"_c{i}": c for i, c in enumerate(carry)})
-    )
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", n_lines long, n_dropped long"
+    out = rows.join(drops, F.col("_id").eqNullSafe(F.col("_of")), "left").select(*rows.columns, "_drop").mapInPandas(_reassembled(min_chars), shape)
+    names = {"_id": id_col, "_text": text_col} | {f"_c{i}": c for i, c in enumerate(carry)}
+    return out.select(*(F.col(c).alias(names.get(c, c)) for c in out.columns if c in names or counts))

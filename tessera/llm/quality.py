@@ -100,7 +100,8 @@ def fit_quality(
     """Learn from at most `per_class` labelled documents of each label that aren't held out, those of least hash of the id.
 
     Labels other than 0 and 1 are ignored; where an id has several labels the least counts. Language, source and id are
-    no inputs. What the driver gathers is bounded by 2 x per_class sparse rows.
+    no inputs. Of rows that repeat an id one counts, of the least text. What the driver gathers is bounded by 2 x
+    per_class sparse rows.
     """
     known = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(id_col) & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_label"))
@@ -109,6 +110,8 @@ def fit_quality(
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     found = (
         texts.join(F.broadcast(sample), "_id")  # at most 2 x per_class rows
+        .groupBy("_id", "_label")
+        .agg(F.min("_text").alias("_text"))
         .mapInPandas(_sparse, "_id string, _label int, _at binary, _of binary")
         .toPandas()
         .sort_values(["_label", "_id"])
