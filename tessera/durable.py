@@ -10,16 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set (tests, one machine)."""
+    """The folder named by spark.checkpoint.dir. Where none is set, a temporary one on a single machine (tests); on a
+    cluster, whose machines don't share such a folder, that is an error."""
     context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-")
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="tessera-checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
 
 
 #: After so many cuts the driver collects its garbage, which lets Spark delete shuffle and checkpoint files that nothing
-#: refers to any more. Iterative operators would else hold all their files until the driver's heap is full.
+#: refers to any more (checkpoints with spark.cleaner.referenceTracking.cleanCheckpoints=true). Iterative operators
+#: would else hold all their files until the driver's heap is full.
 RELEASE_EVERY = 2
 _cuts = count(1)
 
