@@ -2,7 +2,7 @@
 
 The corpus enters the program only as a histogram of at most `capacity` lengths. Columns of the program are
 configurations (multisets of lengths that fit one sequence); multiplicative weights hold a price for each length and
-knapsack dynamic programming prices columns. The fractional solution is rounded down and what is left over is packed by
+knapsack dynamic programming prices columns, which gives a bound on the sequences too. The fractional solution is rounded down and what is left over is packed by
 best fit, still in counts. The resulting plan is a few thousand runs "places r to r+k of length l go to sequences s to
 s+k at offset o", and each piece finds its place from its rank among the pieces of its length.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -96,46 +97,82 @@ def traced(take: np.ndarray, lengths: np.ndarray, room: int) -> list[int]:
     return out
 
 
-def solve_configurations(counts: np.ndarray, capacity: int, rounds: int = 150, columns: int = 48, rate: float = 2.0) -> dict[tuple[int, ...], float]:
-    """A fractional solution of the configuration program: how often to use each multiset of lengths.
+def dual_prices(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int = 8) -> tuple[np.ndarray, float]:
+    """Prices of lengths that no configuration sums to more than 1 of, and the bound need @ prices on the sequences.
 
-    Prices start from length / capacity, a feasible dual whose value is the volume bound. Every use of a column lowers
-    the weights of its lengths by the factor exp(-rate * share covered); each round prices by knapsack and takes the best
-    columns through the lengths that are covered least, as far as no length is covered more than needed. Columns that
-    leave room are taken only once no full one is found.
+    They start from the best of length / capacity with, for some limit, 1 for what leaves less room than the limit and 0
+    for what is shorter (limit 0: the volume bound; half the capacity: a sequence for each larger piece). Then
+    multiplicative weights: the price of a length falls with its coverage if the best configuration at these prices, found
+    by knapsack, were used throughout, and rises where that leaves it short. Any prices over the knapsack's optimum are
+    feasible, so each round gives a bound. They end once a run of them gains nothing, a longer one for fewer lengths, or after
+    `rounds` such runs.
+    """
+    patience = int(np.clip(3000 // len(lengths), 16, 80))
+    limits = np.append(0, np.unique(np.minimum(lengths, capacity - lengths)))[:, None]
+    starts = np.where(lengths > capacity - limits, 1.0, np.where(lengths >= limits, lengths / capacity, 0.0))
+    best = starts[(starts @ need).argmax()]
+    most, last = float(need @ best), 0
+    price = np.maximum(best, 1e-3 * lengths / capacity)
+    mean = price
+    for t in range(rounds * patience):
+        value, take = knapsack(lengths, price, capacity)
+        tried = [(price, value[capacity])]
+        if t % 8 == 7:
+            tried.append((mean, knapsack(lengths, mean, capacity)[0][capacity]))
+        for p, top in tried:
+            if need @ p > most * top * (1 + 1e-4):
+                best, most, last = p / top, float(need @ p) / top, t
+        if t - last > patience:
+            break
+        covered = np.bincount(traced(take, lengths, capacity), minlength=len(lengths)) * (float(need @ price) / value[capacity]) / need
+        price = price * np.exp((1 - np.minimum(covered, 4)) * 0.5 / (1 + t) ** 0.5)
+        price /= price.max()
+        mean = mean + (price - mean) / (t + 1)
+    return best, most
+
+
+def solve_configurations(counts: np.ndarray, capacity: int, rounds: int = 400, columns: int = 48, rate: float = 2.0) -> tuple[dict[tuple[int, ...], tuple[float, float]], float]:
+    """A fractional solution of the configuration program and a bound below: for each multiset of lengths how often to use
+    it, and the tolerance at which it came in.
+
+    Covering starts from the dual prices above. Every use of a column lowers the weights of its lengths by the factor
+    exp(-rate * share covered), and prices follow the weights; each round prices by knapsack and takes the best columns
+    through the lengths that are covered least, as far as no length is covered more than needed. Columns are taken whose
+    dual prices lack no more than a tolerance to 1; it grows only where no other is left, so any configuration may be one,
+    and all pieces are covered at the end.
     """
     lengths = np.flatnonzero(counts[:capacity])
     lengths = lengths[lengths > 0]
+    if not len(lengths):
+        return {}, 0.0
     need = counts[lengths].astype(float)
-    left, solution, slack, most = need.copy(), {}, 0, capacity // 1000
+    duals, bound = dual_prices(lengths, need, capacity)
+    left, solution, loose = need.copy(), {}, 0.0005
     for _ in range(rounds):
         open_ = np.flatnonzero(left > 1e-9 * need)
         if not len(open_):
             break
         sizes = lengths[open_]
         weight = np.exp(rate * (left[open_] / need[open_] - 1))
-        prices = sizes / capacity * (1 + 0.002 * weight)
+        prices = (duals[open_] + 1e-6 * sizes / capacity) * (1 + 0.002 * weight)
         value, take = knapsack(sizes, prices, capacity)
         through = prices + value[capacity - sizes]
         step_any = False
         for first in np.lexsort((-through, -np.round(weight, 3)))[:columns]:
-            if through[first] < 0.99 * value[capacity] and slack < most:
-                continue
             config = [int(first), *traced(take, sizes, capacity - int(sizes[first]))]
-            if sizes[config].sum() < capacity - slack:
+            if duals[open_[config]].sum() < 1 - loose:
                 continue
             kinds, times = np.unique(open_[config], return_counts=True)
             step = float((left[kinds] / times).min())
             if step > 0:
                 left[kinds] = np.maximum(left[kinds] - step * times, 0)
                 key = tuple(sorted((int(lengths[open_[i]]) for i in config), reverse=True))
-                solution[key] = solution.get(key, 0.0) + step
+                old = solution.get(key, (0.0, loose))
+                solution[key] = (old[0] + step, old[1])
                 step_any = True
-        if not step_any:  # only then may columns leave more room
-            if slack >= most:
-                break
-            slack += 1
-    return solution
+        if not step_any:  # only then may columns be worse
+            loose = min(2 * loose, 1.0)
+    return solution, bound
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -163,16 +200,17 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], i
     return [x for row in bins for x in row]
 
 
-#: Parts of the fractional solution that are rounded; best fit packs the rest, and the fewest sequences win.
-PARTS = (1.0, 0.95, 0.9, 0.8, 0.7, 0.6, 0.5)
+#: Parts of the fractional solution that are rounded, and tolerances up to which its columns are used; best fit packs the
+#: rest, and the fewest sequences win.
+PARTS, TOLERANCES = (1.0, 0.9, 0.7, 0.5, 0.0), (0.0005, 0.001, 0.002, 0.004, 0.016, 1.0)
 
 
-def rounded(solution: dict[tuple[int, ...], float], need: np.ndarray, capacity: int, part: float) -> list[tuple[tuple[int, ...], int]]:
-    """Use each column `part` of its times, rounded down, and pack what is left by best fit."""
+def rounded(solution: dict[tuple[int, ...], tuple[float, float]], need: np.ndarray, capacity: int, part: float, loose: float) -> list[tuple[tuple[int, ...], int]]:
+    """Use the columns that came in at tolerance `loose` or less `part` of their times, rounded down, and pack what is left by best fit."""
     left, contents = need.copy(), []
-    for config, times in solution.items():
+    for config, (times, at) in solution.items():
         kinds, each = np.unique(config, return_counts=True)
-        if k := int(min(np.floor(part * times + 1e-6), (left[kinds] // each).min())):
+        if at <= loose and (k := int(min(np.floor(part * times + 1e-6), (left[kinds] // each).min()))):
             contents.append((config, k))
             left[kinds] -= k * each
     return contents + best_fit(left, capacity)
@@ -184,8 +222,15 @@ def plan(counts: np.ndarray, capacity: int) -> np.ndarray:
     need[0] = 0
     whole = [((capacity,), int(need[capacity]))] if need[capacity] else []
     need[capacity] = 0
-    solution = solve_configurations(need, capacity)
-    contents = whole + min((rounded(solution, need, capacity, part) for part in PARTS), key=lambda x: sum(k for _, k in x))
+    solution, bound = solve_configurations(need, capacity)
+    packed, fewest = [], np.inf
+    for part, loose in product(PARTS, TOLERANCES):
+        if fewest <= np.ceil(bound - 1e-6):  # no packing has fewer
+            break
+        tried = rounded(solution, need, capacity, part, loose)
+        if (n := sum(k for _, k in tried)) < fewest:
+            packed, fewest = tried, n
+    contents = whole + packed
     rank, sequence, runs = np.zeros(capacity + 1, np.int64), 0, []
     for content, k in contents:
         offset = 0

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tessera.llm.packing import LibraryBpe, library_classes, pack_documents, plan
+from tessera.llm.packing import LibraryBpe, best_fit, library_classes, pack_documents, plan, solve_configurations
 from tessera.llm.pretokenize import unpack_classes
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -42,7 +42,50 @@ def test_plan_places_all_within_capacity(found):
             assert offset == at
             at += length
         assert at <= 64
-    assert len(used) <= 1.25 * (counts * np.arange(65)).sum() / 64 + 1 + (counts[33:].sum())
+    assert len(used) <= sum(k for _, k in best_fit(counts, 64))
+    assert len(used) >= solve_configurations(counts, 64)[1] + counts[64] - 1e-6
+
+
+def fewest(lengths, capacity):
+    """The least number of sequences, over all ways to fill one after the other."""
+    best = {0: (0, 0)}  # pieces placed, as bits: sequences closed and tokens in the open one, the least
+    for done in range(1 << len(lengths)):
+        for i, length in enumerate(lengths):
+            if not done >> i & 1:
+                closed, full = best[done]
+                state = (closed, full + length) if full + length <= capacity else (closed + 1, length)
+                best[done | 1 << i] = min(best.get(done | 1 << i, (len(lengths), 0)), state)
+    closed, full = best[(1 << len(lengths)) - 1]
+    return closed + (full > 0)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
+def test_plan_against_the_optimum(lengths):
+    counts = np.bincount(lengths, minlength=21)
+    runs, want = plan(counts, 20), fewest(lengths, 20)
+    assert solve_configurations(counts, 20)[1] + counts[20] <= want + 1e-6
+    assert want <= (runs[:, 3] + runs[:, 2]).max() <= want + 1
+
+
+@pytest.mark.parametrize(
+    ("found", "most"),
+    [({700: 100, 900: 100, 1100: 50}, 125), ({500: 90, 600: 80, 650: 77}, 75), ({k: 3 for k in range(1025, 2048, 3)}, 1023), ({400: 100, 510: 60, 620: 200, 690: 30}, None)],
+)
+def test_configurations_carry_all_tokens(found, most):
+    """Histograms whose configurations all leave room: the program covers them, near its own bound."""
+    counts = np.zeros(2049, np.int64)
+    counts[list(found)] = list(found.values())
+    solution, bound = solve_configurations(counts, 2048)
+    covered = np.zeros(2049)
+    for config, (times, _) in solution.items():
+        assert sum(config) <= 2048
+        np.add.at(covered, list(config), times)
+    assert covered == pytest.approx(counts)
+    assert bound - 1e-6 <= sum(times for times, _ in solution.values()) <= 1.03 * bound + 1
+    runs = plan(counts, 2048)
+    n = (runs[:, 3] + runs[:, 2]).max()
+    assert n == most or most is None and n <= 1.03 * bound + 1
 
 
 def test_plan_is_near_the_volume_bound():
