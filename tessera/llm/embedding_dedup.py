@@ -22,15 +22,25 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut
 from tessera.operators.components import connected_components
 
-#: The coarse and product codebooks are fitted on the SAMPLE distinct vectors of least hash; every vector is indexed.
-SAMPLE, LIST_SIZE, MOST_LISTS, PROBES = 16_384, 256, 16_384, 12
+#: The coarse and product codebooks are fitted on PER_LIST distinct vectors a list, those of least hash, at most
+#: PER_LIST * MOST_LISTS = 65536 of them; every vector is indexed.
+PER_LIST, LIST_SIZE, MOST_LISTS, PROBES = 32, 256, 2048, 12
+#: Scores of vectors against centres that are held at once.
+SCORES = 2_000_000
 PARTS, CODES, ROUNDS = 8, 64, 8
 #: Vectors of a list and queries of a list that one block compares.
 ROWS, QUERIES = 1024, 2048
 
 
+def _blocks(x: np.ndarray, centres: np.ndarray) -> Iterator[np.ndarray]:
+    """Scores of some rows after the other, highest for the nearest centre."""
+    half, rows = 0.5 * (centres**2).sum(axis=1), max(1, SCORES // len(centres))
+    for i in range(0, len(x), rows):
+        yield x[i : i + rows] @ centres.T - half
+
+
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return (x @ centres.T - 0.5 * (centres**2).sum(axis=1)).argmax(axis=1)
+    return np.concatenate([score.argmax(axis=1) for score in _blocks(x, centres)]) if len(x) else np.empty(0, np.int64)
 
 
 def _means(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -65,11 +75,12 @@ class PqIndex:
 
     def probes(self, x: np.ndarray, most: int) -> np.ndarray:
         """The lists to probe, nearest first; the first is the vector's own."""
-        score = x @ self.centres.T - 0.5 * (self.centres**2).sum(axis=1)
-        k = min(most, score.shape[1])
-        part = np.argpartition(-score, k - 1, axis=1)[:, :k]
-        order = np.argsort(-np.take_along_axis(score, part, 1), axis=1, kind="stable")
-        return np.take_along_axis(part, order, 1)
+        k, out = min(most, len(self.centres)), []
+        for score in _blocks(x, self.centres):
+            part = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            order = np.argsort(-np.take_along_axis(score, part, 1), axis=1, kind="stable")
+            out.append(np.take_along_axis(part, order, 1))
+        return np.concatenate(out) if out else np.empty((0, k), np.int64)
 
     def distances(self, queries: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric squared distances of queries to the coded vectors of list `at`, by look-ups in a table for each part."""
@@ -82,9 +93,14 @@ class PqIndex:
         return out
 
 
+def lists_of(n: int) -> int:
+    return int(np.clip(-(-n // LIST_SIZE), 1, MOST_LISTS))
+
+
 def fit_index(sample: np.ndarray, n: int) -> PqIndex:
+    """Coarse centres, and codebooks of what is left of the sample around them: most sample rows are no centres."""
     width = sample.shape[1]
-    lists = int(np.clip(-(-n // LIST_SIZE), 1, min(MOST_LISTS, len(sample))))
+    lists = min(lists_of(n), len(sample))
     centres = _means(sample, lists, 1)
     rest = sample - centres[_nearest(sample, centres)]
     cuts = np.linspace(0, width, min(PARTS, width) + 1).astype(int)
@@ -177,7 +193,11 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _linked(classes: DataFrame, n: int, least: float, probes: int) -> DataFrame:
     """(_id, _links, _to): links of each class, counted block by block, and edges that span them."""
     spark = classes.sparkSession
-    sample = classes.orderBy(F.xxhash64("_digest"), "_id").limit(SAMPLE).select("_unit").toPandas()
+    wanted = PER_LIST * lists_of(n)
+    # by a limit on the hash, a tenth above the wanted share, so that no task gathers the sample
+    place = F.pmod(F.xxhash64("_digest"), F.lit(1 << 40))
+    sample = classes.select("_unit", "_id", place.alias("_place")).filter(F.col("_place") < F.lit(int(min(1.0, 1.1 * wanted / n + 100 / n) * (1 << 40)))).toPandas()
+    sample = sample.sort_values(["_place", "_id"]).head(wanted)
     index = spark.sparkContext.broadcast(fit_index(np.frombuffer(b"".join(sample["_unit"]), float).reshape(len(sample), -1), n))
     shape = "_unit binary, _id long, _size long, _list int, _probes array<int>, _codes binary, _error double"
     indexed = cut(classes.select("_unit", "_id", "_size").mapInPandas(_indexed(index, probes), shape))

@@ -44,3 +44,18 @@ def test_probes_of_vectors_that_the_index_has_not_seen():
     index = embedding.fit_index(sample, 100_000)
     a, b = index.probes(x, embedding.PROBES), index.probes(y, embedding.PROBES)
     assert ((a == b[:, :1]).any(axis=1) | (b == a[:, :1]).any(axis=1)).mean() >= 0.98
+
+
+def test_index_with_the_most_lists(monkeypatch):
+    """A table far beyond the lists: sample rows are no centres, so that codebooks tell residuals apart."""
+    monkeypatch.setattr(embedding, "MOST_LISTS", 256)
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    index = embedding.fit_index(unit(rng.standard_normal((256 * embedding.PER_LIST, 64))), 10_000_000)
+    assert len(index.centres) == 256 and all(np.abs(book).max() > 0.05 for book in index.books)
+    x, y, c = unit(rng.standard_normal((1000, 64))), rng.standard_normal((1000, 64)), rng.uniform(0.9, 0.92, (1000, 1))
+    y = c * x + np.sqrt(1 - c * c) * unit(y - (y * x).sum(axis=1, keepdims=True) * x)
+    a, b = index.probes(x, embedding.PROBES), index.probes(y, embedding.PROBES)
+    assert ((a == b[:, :1]).any(axis=1) | (b == a[:, :1]).any(axis=1)).mean() >= 0.95
+    codes, error = index.encode(x, a[:, 0])
+    assert len(np.unique(codes, axis=0)) > 900 and error.max() < 1.2
