@@ -26,6 +26,8 @@ from tessera.operators.components import connected_components
 TREES, FIRST, DEEPEST, SLOTS = 16, 2, 6, 128
 #: A node or group of up to SMALL members is compared in one piece; larger ones in blocks of BLOCK.
 SMALL, BLOCK = 200, 150
+#: Parts into which the rows of a large group are dealt where they are joined by the group.
+SALTS = 64
 #: Share of equal sketch slots from which two documents are candidates: over four standard errors below the threshold.
 CANDIDATE_ERRORS = 4.2
 
@@ -251,12 +253,14 @@ def _in_blocks(rows: DataFrame, content: DataFrame, group: str, compare) -> Data
     `compare` needs of each _id. A group makes (members / BLOCK) x (members outside the main label / BLOCK) blocks.
     """
     rest = F.col("_label") != F.col("_main")
-    # grouped by a struct, so that the join deals both sides out anew
-    sizes = rows.groupBy(F.struct(group).alias("_k")).agg(F.count("*").alias("_m"), F.count_if(rest).alias("_r"))
-    sizes = cut(sizes.filter("_r > 0").select(F.col(f"_k.{group}").alias(group), "_m", "_r"))
+    # rows are salted and the few sizes repeated for each salt, so that the rows of one group go to many tasks
+    salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")
+    rows = rows.withColumn("_salt", salt)
+    sizes = rows.groupBy(group, "_salt").agg(F.count("*").alias("_m"), F.count_if(rest).alias("_r")).groupBy(group).agg(F.sum("_m").alias("_m"), F.sum("_r").alias("_r"))
+    sizes = cut(sizes.filter("_r > 0").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
     chunks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     chunk = lambda n: F.pmod(F.xxhash64("_id"), chunks(n)).cast("int")
-    members = rows.join(sizes, group)
+    members = rows.join(sizes, [group, "_salt"])
     as_all = members.select("_id", "_label", group, chunk("_m").alias("_i"), F.explode(F.sequence(F.lit(0), chunks("_r") - 1)).alias("_j"))
     as_rest = members.filter(rest).select("_id", "_label", group, F.explode(F.sequence(F.lit(0), chunks("_m") - 1)).alias("_i"), chunk("_r").alias("_j"))
     dealt = as_all.union(as_rest).distinct().withColumn("_key", F.xxhash64(group, "_i", "_j")).select("_id", "_label", "_key")
