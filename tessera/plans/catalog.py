@@ -182,6 +182,20 @@ simpson AS (
          * any_value(pi() / 2 - atan(abs(t) / sqrt(df))) / 3000 AS area
   FROM welch, grid WHERE df >= 2 GROUP BY gene),
 pvalues AS (SELECT gene, t, df, least(1.0, 2 * area * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi())) AS p FROM simpson)"""
+#: p of every gene: the integral of the density over the angle atan(t / sqrt(df)); below 2 degrees of freedom its end is
+#: a pole, and u = angle ** df takes it away. An undefined test has p 1.
+EVERY_P = """
+grid AS (SELECT range AS i FROM range(0, 4001)),
+bend AS (SELECT *, pi() / 2 - atan(abs(t) / sqrt(df)) AS a, CASE WHEN df < 2 THEN df ELSE 1.0 END AS e FROM tests WHERE df IS NOT NULL),
+node AS (SELECT gene, df, a, e, i, (a ** e * i / 4000) ** (1 / e) AS x FROM bend, grid),
+area AS (
+  SELECT gene, any_value(df) AS df, sum((CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) *
+         CASE WHEN e < 1.0 OR df < 2 THEN (CASE WHEN x > 0 THEN sin(x) / x ELSE 1 END) ** (df - 1) / e ELSE greatest(0, sin(x)) ** (df - 1) END) * any_value(a ** e) / 12000 AS area FROM node GROUP BY gene),
+ps AS (SELECT tests.*, coalesce(least(1.0, 2 * area * exp(lgamma((area.df + 1) / 2) - lgamma(area.df / 2)) / sqrt(pi())), 1.0) AS p FROM tests LEFT JOIN area USING (gene))"""
+EVERY_Q = """
+placed AS (SELECT *, count(*) OVER () AS m, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS k FROM ps),
+de AS (SELECT *, least(1.0, min(p * m / k) OVER (ORDER BY p DESC)) AS q, m1 - m2 AS fc FROM placed)"""
+WELCH_TESTS = "tests AS (SELECT gene, t, df, m1, m2, d FROM welch)"
 
 
 def _tested(spark, d):
@@ -204,6 +218,11 @@ def d03(spark, d):
     return _tested(spark, d).filter("df >= 2").select("gene", F.round(stats.student_p("t_stat", "df"), 6).alias("pvalue"))
 
 
+@query("d03_every_p", f"WITH {EXPR}, {MOMENTS}, {WELCH_TESTS}, {EVERY_P} SELECT gene, round(p, 5) AS pvalue FROM ps")
+def d03_every(spark, d):
+    return _tested(spark, d).select("gene", F.round(F.coalesce(stats.student_p("t_stat", "df"), F.lit(1.0)), 5).alias("pvalue"))
+
+
 def _closed_p(t):
     return 1 / (1 + F.exp(F.abs(t) * 1.702))
 
@@ -242,11 +261,35 @@ def d07(spark, d):
     return rounded(stats.student(m).select("gene", "t_stat"))
 
 
+STUDENT = """tests AS (SELECT gene, m1, m2, d, CASE WHEN n1 > 1 AND n2 > 1 THEN (n1 + n2 - 2)::DOUBLE END AS df, CASE WHEN n1 > 1 AND n2 > 1 AND (n1 - 1) * v1 + (n2 - 1) * v2 > 0
+THEN (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)) ELSE 0 END AS t FROM welch)"""
+
+
+@query("d07_student_p", f"WITH {EXPR}, {MOMENTS}, {STUDENT}, {EVERY_P} SELECT gene, round(p, 5) AS pvalue FROM ps")
+def d07_p(spark, d):
+    m = stats.cohort_moments(views.expr_long(spark, d)).filter("n1 > 0 AND n2 > 0")
+    return stats.student(m).select("gene", F.round(F.coalesce(stats.student_p("t_stat", "df"), F.lit(1.0)), 5).alias("pvalue"))
+
+
 @query("t01_differential")
 def t01(spark, d):
     return stats.sort_differential(stats.differential(views.expr_long(spark, d)))
 
 
+#: Small p lose digits in the integral, so -log10 is compared to 3 places and where q is over 1e-6.
+@query(
+    "t01_differential_table",
+    f"""WITH {EXPR}, {MOMENTS}, {WELCH_TESTS}, {EVERY_P}, {EVERY_Q}
+SELECT gene, round(m1, 6) AS mean_tumor, round(m2, 6) AS mean_normal, round(fc, 6) AS log2fc, round(t, 6) AS t_stat, round(p, 5) AS pvalue, round(q, 5) AS pvalue_adj,
+CASE WHEN q > 1e-6 THEN round(-log10(q), 3) + 0.0 END AS neg_log10_padj, round(d, 6) AS cohens_d, q <= 0.05 AND abs(fc) >= 1 AS significant,
+CASE WHEN q <= 0.05 AND abs(fc) >= 1 THEN CASE WHEN fc > 0 THEN 'up' WHEN fc < 0 THEN 'down' ELSE 'ns' END ELSE 'ns' END AS direction FROM de""",
+)
+def t01_table(spark, d):
+    out = stats.differential(views.expr_long(spark, d))
+    log = F.when(F.col("pvalue_adj") > 1e-6, F.round("neg_log10_padj", 3) + F.lit(0.0))
+    return rounded(out.withColumns({"neg_log10_padj": log, "pvalue": F.round("pvalue", 5), "pvalue_adj": F.round("pvalue_adj", 5)}))
+
+
 STATS_SQL = """
 st AS (
   SELECT cohort, gene, avg(value) AS mean, median(value) AS median, stddev_samp(value) AS std, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr,
@@ -274,6 +317,31 @@ def d12(spark, d):
     return rounded(stats.expression_features(e, stats.differential(e)), 5)
 
 
+def _d12_sql() -> str:
+    """The features that don't rest on small p: statistics of both cohorts, effect sizes, ratios and ranks of them."""
+    sides = (("tumor", "tumor"), ("normal", "normal"))
+    columns = {f"{name}_{x}": f"max({x}) FILTER (cohort = '{cohort}')" for name, cohort in sides for x in stats.STATS}
+    wide = ", ".join(f"{v} AS {k}" for k, v in columns.items())
+    ratios = {f"tumor_normal_{x}_ratio": f"tumor_{x} / (normal_{x} + 1e-6)" for x in ("mean", "std", "iqr")}
+    more = ", ".join(f"{v} AS {k}" for k, v in ratios.items())
+    cuts = ", ".join(f"CASE WHEN {k} IS NOT NULL THEN least(greatest({k}, (SELECT quantile_cont({k}, 0.001) FROM f)), (SELECT quantile_cont({k}, 0.999) FROM f)) END AS {k}" for k in ratios)
+    tests = {"log2fc": "m1 - m2", "cohens_d": "d", "t_stat": "t", "abs_log2fc": "abs(m1 - m2)"}
+    plain = [*columns, *tests]
+    rank = lambda c: f"(rank() OVER (ORDER BY {c} ASC NULLS LAST) + (count(*) OVER (PARTITION BY {c}) - 1) / 2) / count(*) OVER () AS {c}_rank"
+    ranked = [c for c in stats.RANKED if c != "neg_log10_padj"]
+    filled = ", ".join(f"round(coalesce({c}, (SELECT median({c}) FROM r)), 4) + 0.0 AS {c}" for c in [*plain, *ratios, *(f"{c}_rank" for c in ranked)])
+    return f"""WITH {EXPR}, {MOMENTS}, {STATS_SQL}, w AS (SELECT gene, {wide} FROM st GROUP BY gene), tt AS (SELECT gene, {", ".join(f"{v} AS {k}" for k, v in tests.items())} FROM welch),
+f AS (SELECT w.*, {", ".join(f"coalesce({c}, 0) AS {c}" if c != "abs_log2fc" else "abs_log2fc" for c in tests)}, {more} FROM w LEFT JOIN tt USING (gene)),
+c AS (SELECT gene, {", ".join(plain)}, {cuts} FROM f), r AS (SELECT *, {", ".join(map(rank, ranked))} FROM c) SELECT gene, {filled} FROM r"""
+
+
+@query("d12_features_without_p", _d12_sql())
+def d12_without_p(spark, d):
+    e = views.expr_long(spark, d)
+    out = stats.expression_features(e, stats.differential(e)).drop("neg_log10_padj", "neg_log10_padj_rank")
+    return out.select("gene", *((F.round(c, 4) + F.lit(0.0)).alias(c) for c in out.columns if c != "gene"))
+
+
 TUMOR = "tum AS (SELECT gene, avg(value) AS mean, stddev_samp(value) AS std, max(value) AS high, min(value) AS low FROM expr WHERE cohort = 'tumor' GROUP BY 1)"
 
 
@@ -521,6 +589,24 @@ def g07(spark, d):
     return rounded(graph.distance_measures(_edges(spark, d), _nodes(spark, d)), 6)
 
 
+#: UNION keeps a pair once for each length of a walk; the greatest distance in these graphs is under 12.
+DISTANCES = """
+hops AS (
+  SELECT vec_id AS a, vec_id AS b, 0 AS d FROM embeddings
+  UNION SELECT h.a, s.other, h.d + 1 FROM hops h JOIN sym s ON s.gene = h.b WHERE h.d < 12),
+dist AS (SELECT a, b, min(d) AS d FROM hops GROUP BY 1, 2),
+close AS (
+  SELECT a AS gene, count(*) AS r, sum(d) AS f, (SELECT count(*) FROM embeddings) AS n FROM dist GROUP BY 1)"""
+
+
+@query(
+    "g08_closeness",
+    f"""WITH RECURSIVE {EDGES}, {DISTANCES} SELECT gene, round(CASE WHEN f > 0 THEN (r - 1.0) ** 2 / (f * (n - 1.0)) ELSE 0 END, 6) AS closeness_centrality FROM close""",
+)
+def g08(spark, d):
+    return rounded(graph.distance_measures(_edges(spark, d), _nodes(spark, d)).select("gene", "closeness_centrality"))
+
+
 @query("g09_eigenvector")
 def g09(spark, d):
     return rounded(graph.eigenvector(_edges(spark, d), _nodes(spark, d)), 6)
@@ -531,6 +617,22 @@ def g13(spark, d):
     return rounded(graph.network_features(_edges(spark, d), _nodes(spark, d)), 5)
 
 
+@query(
+    "g13_local_features",
+    f"""WITH RECURSIVE {EDGES}, {TRIANGLES}, {REACH},
+inc AS (SELECT gene, count(*) AS degree, sum(abs_weight) AS s, avg(abs_weight) AS a, max(abs_weight) AS hi, min(abs_weight) AS lo, stddev_pop(abs_weight) AS sd FROM sym GROUP BY 1),
+nd AS (SELECT sym.gene, avg(deg.degree) AS a FROM sym JOIN deg ON deg.gene = sym.other GROUP BY 1)
+SELECT comp.gene, coalesce(inc.degree, 0) AS degree, round(coalesce(s, 0), 5) AS weighted_degree, round(coalesce(inc.a, 0), 5) AS mean_edge_weight, round(coalesce(hi, 0), 5) AS max_edge_weight,
+round(coalesce(lo, 0), 5) AS min_edge_weight, round(coalesce(sd, 0), 5) AS std_edge_weight, round(coalesce(nd.a, 0), 5) AS avg_neighbor_degree, round(coalesce(w, 0), 5) AS clustering_coefficient,
+size AS component_size, (comp.component = (SELECT component FROM csize ORDER BY size DESC, component LIMIT 1))::INT AS in_largest_component
+FROM comp JOIN csize USING (component) LEFT JOIN inc ON inc.gene = comp.gene LEFT JOIN nd ON nd.gene = comp.gene LEFT JOIN clus ON clus.gene = comp.gene""",
+)
+def g13_local(spark, d):
+    """The network features without betweenness, closeness and the eigenvector."""
+    out = graph.network_features(_edges(spark, d), _nodes(spark, d))
+    return rounded(out.drop("betweenness_centrality", "closeness_centrality", "eigenvector_centrality"), 5)
+
+
 @query("g18_spring_layout")
 def g18(spark, d):
     s = _emb_ranking(spark, d)
@@ -611,7 +713,18 @@ def e10(spark, d):
     return rounded(metrics.at_k(views.scored(spark, d)))
 
 
-@query("e11_model_metrics")
+@query(
+    "e11_model_metrics",
+    f"""WITH {SCORED}, {THRESHOLDS}, {CONFUSION}, th AS (SELECT score AS t FROM f ORDER BY f1 DESC, score LIMIT 1),
+opt AS (SELECT count(*) FILTER (score < t AND label = 0) AS tn, count(*) FILTER (score >= t AND label = 0) AS fp, count(*) FILTER (score < t AND label = 1) AS fn, count(*) FILTER (score >= t AND label = 1) AS tp FROM scored, th),
+top AS (SELECT label, row_number() OVER (ORDER BY score DESC, gene) AS i FROM scored), k AS (SELECT sum(label) FILTER (i <= 50) AS a, sum(label) FILTER (i <= 100) AS b, sum(label) FILTER (i <= 200) AS c FROM top)
+SELECT 'length' AS model_name, round((SELECT sum(f * (tp - p / 2)) / (any_value(pos) * any_value(neg)) FROM curve), 4) AS auroc, round((SELECT sum(p * tp / (tp + fp)) / any_value(pos) FROM curve), 4) AS auprc,
+round((SELECT avg((score - label) ** 2) FROM scored), 4) AS brier_score, round((tp + tn) / (tp + tn + fp + fn), 4) AS accuracy,
+round((tp * tn - fp * fn) / sqrt(((tp + fp) * (tp + fn))::DOUBLE * ((tn + fp) * (tn + fn))), 4) AS mcc, round(tp / (tp + fp), 4) AS precision_opt, round(tp / (tp + fn), 4) AS recall_opt,
+round(2 * tp / (2 * tp + fp + fn), 4) AS f1_opt, round((SELECT 2 * tp / (2 * tp + fp + fn) FROM conf), 4) AS f1_at_05, round((SELECT t FROM th), 4) AS optimal_threshold,
+round((SELECT a / pos FROM k, totals), 4) AS recall_at_50, round((SELECT b / pos FROM k, totals), 4) AS recall_at_100, round((SELECT c / pos FROM k, totals), 4) AS recall_at_200,
+round((SELECT a / 50 FROM k), 4) AS precision_at_50, round((SELECT b / 100 FROM k), 4) AS precision_at_100 FROM opt""",
+)
 def e11(spark, d):
     return metrics.evaluate(views.scored(spark, d), "length")
 
@@ -710,6 +823,16 @@ def e17(spark, d):
     return e.select("pathway", "overlap", F.round("pvalue", 5).alias("pvalue"), F.round("padj", 5).alias("padj"), "genes", "overlap_genes", "pathway_size", F.round(enrich.parse_overlap("overlap")[2], 6).alias("gene_ratio"))
 
 
+@query(
+    "e17_odds",
+    f"""WITH {ENRICH}, o AS (SELECT pathway, k, m, p, (SELECT n FROM tot) AS n, (SELECT t FROM tot) AS t FROM adj WHERE k >= 3),
+r AS (SELECT *, CASE WHEN (m - k) * (n - k) > 0 THEN k * (t - m - (n - k))::DOUBLE / ((m - k) * (n - k)) END AS odds FROM o)
+SELECT pathway, round(odds, 6) AS odds_ratio, round(-ln(greatest(p, 1e-300)) * odds, 4) AS combined_score FROM r""",
+)
+def e17_odds(spark, d):
+    return _enriched(spark, d).select("pathway", F.round("odds_ratio", 6).alias("odds_ratio"), F.round("combined_score", 4).alias("combined_score"))
+
+
 @query(
     "a23_enrichment_summary",
     f"""WITH {ENRICH} SELECT 'all' AS subset, count(*)::INT AS pathways_tested, (count(*) FILTER (q <= 0.05))::INT AS significant, coalesce(min_by(pathway, (q, pathway)), '') AS top_pathway, round(min(q), 6) AS top_padj
