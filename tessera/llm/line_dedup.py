@@ -81,11 +81,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
     id_type = rows.schema["_id"].dataType.simpleString()
     pairs = cut(rows.select("_id", "_text").mapInPandas(_exploded(min_chars), f"_hash binary, _id {id_type}"))
-    # hashes of enough rows, then of enough documents; each list is written, so that the joins read two exchanges and a
-    # hash that many documents hold can be split among tasks
-    often = cut(pairs.groupBy("_hash").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_docs).select("_hash"))
+    # distinct ids are counted after an exchange by hash and id, so a hash that many documents hold spreads over the tasks
     documents = F.count_distinct("_id") + F.count_if(F.col("_id").isNull())
-    common = pairs.join(often, "_hash").groupBy("_hash").agg(documents.alias("_n"), F.max("_id").alias("_last"))
+    common = pairs.groupBy("_hash").agg(documents.alias("_n"), F.max("_id").alias("_last"))
+    # written, so that the join reads two exchanges and such a hash can be split there too
     drops = (
         pairs.join(cut(common.filter(F.col("_n") >= min_docs).drop("_n")), "_hash")
         .filter(~F.col("_id").eqNullSafe(F.col("_last")))
