@@ -39,6 +39,7 @@ class EngineConfig:
     prob_threshold: float = 0.50
     high_confidence: float = 0.80
     min_overlap: int = 3
+    pathway_names: tuple[str, ...] = ()  # after adjusting, keep pathways whose name holds one of these; all if empty
     # storage
     output: str = "output"
     formats: tuple[str, ...] = field(default=("csv",))

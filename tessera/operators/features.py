@@ -133,3 +133,15 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     sizes = df.groupBy(label).agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum("n").alias("_all"), F.count("*").alias("_classes"))
     return sizes.crossJoin(total).select(label, "n", (F.col("_all") / (F.col("_classes") * F.col("n"))).alias("weight"))
+
+
+def selected(importance: DataFrame, k: int = 21) -> list[str]:
+    """The k features of best rank, best first."""
+    return [r.feature for r in importance.filter(F.col("rank") <= k).orderBy("rank").select("feature").collect()]  # k names
+
+
+def trim_unlabelled(train: DataFrame, scores: DataFrame, at: float = 0.9) -> DataFrame:
+    """Training rows without the unlabelled genes that a first model scores `at` or more: positives not yet known, perhaps.
+    A gene without a score stays."""
+    noisy = scores.filter(F.col("score") >= at).select("gene", F.lit(0).alias("label"))
+    return train.join(noisy, ["gene", "label"], "left_anti").select(*train.columns)

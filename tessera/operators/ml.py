@@ -380,16 +380,23 @@ def permutation_importance(model, df: DataFrame, columns: list[str], repeats: in
     return drops.groupBy("feature").agg(F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("deviation"))
 
 
-# Groups of features by the ending or beginning of their names.
-GROUPS = [
-    ("Network", ("degree", "centrality", "clustering", "edge_weight", "component", "neighbor")), ("Rank", ("_rank",)), ("Contrast", ("_ratio",)),
-    ("Differential", ("log2fc", "padj", "cohens_d", "t_stat")), ("Shape", ("skewness", "kurtosis")), ("Variability", ("_std", "_iqr", "_cv")),
-    ("Expression", ("_mean", "_median", "_expressed")),
-]
+# Names of the feature groups and their members.
+FEATURE_GROUPS = {
+    "Tumor Expression Stats": ["tumor_mean", "tumor_median", "tumor_std", "tumor_iqr", "tumor_cv", "tumor_skewness", "tumor_kurtosis", "tumor_pct_expressed"],
+    "Normal Expression Stats": ["normal_mean", "normal_median", "normal_std", "normal_iqr", "normal_cv", "normal_skewness", "normal_kurtosis", "normal_pct_expressed"],
+    "Differential Expression": ["log2fc", "abs_log2fc", "neg_log10_padj", "cohens_d", "t_stat"],
+    "Contrast Features": ["tumor_normal_mean_ratio", "std_ratio", "iqr_ratio"],
+    "Rank Features": ["tumor_mean_rank", "abs_log2fc_rank", "neg_log10_padj_rank", "cohens_d_rank", "tumor_iqr_rank"],
+    "Network Topology": ["degree", "weighted_degree", "avg_neighbor_degree", "betweenness_centrality", "closeness_centrality", "eigenvector_centrality", "clustering_coefficient"],
+    "Network Edge Weights": ["mean_edge_weight", "max_edge_weight", "min_edge_weight", "std_edge_weight"],
+    "Network Component": ["in_largest_component", "component_size"],
+}
+#: The contrasts of spread carry both cohorts in their names here.
+_GROUP_OF = {f: g for g, members in FEATURE_GROUPS.items() for f in members} | dict.fromkeys(("tumor_normal_std_ratio", "tumor_normal_iqr_ratio"), "Contrast Features")
 
 
 def feature_group(feature: str) -> str:
-    return next((g for g, parts in GROUPS if any(p in feature for p in parts)), "Other")
+    return _GROUP_OF.get(feature, "Other")
 
 
 def importance_table(spark, methods: dict[str, dict[str, float]]) -> DataFrame:

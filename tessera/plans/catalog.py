@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import clean, enrich, features, graph, metrics, ml, stats
+from tessera.durable import ensure_checkpoint_dir
+from tessera.operators import clean, enrich, features, graph, metrics, ml, plots, stats
 from tessera.operators.ordered import benjamini_hochberg, with_ranks
 from tessera.plans import views
 from tessera.plans.views import EDGES, EV, EXPR, LABELS, RAW, SCORED
+from tessera.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -903,3 +906,133 @@ def m20(spark, d):
 def m22(spark, d):
     s = views.scored(spark, d)
     return rounded(ml.soft_vote([s, s.withColumn("score", 1 - F.col("score"))], [1.0, 3.0]))
+
+
+# tables behind figures and reports
+
+
+@query(
+    "v03_overlap_regions",
+    f"""WITH {EXPR}, s AS (SELECT gene, bool_or(cohort = 'tumor') AS a, bool_or(cohort = 'normal') AS b FROM expr GROUP BY 1)
+SELECT r AS region, (SELECT count(*) FROM s WHERE CASE WHEN NOT b THEN 'case only' WHEN NOT a THEN 'control only' ELSE 'both' END = r) AS n FROM (VALUES ('case only'), ('both'), ('control only')) v(r)""",
+)
+def v03(spark, d):
+    e = views.expr_long(spark, d)
+    return plots.overlap_regions(e.filter("cohort = 'tumor'"), e.filter("cohort = 'normal'"))
+
+
+@query(
+    "j07_ranked_differential",
+    f"""WITH {EXPR}, {MOMENTS}, {SCORED}, {RANKING}
+SELECT welch.gene, round(m1 - m2, 6) AS log2fc, round(t, 6) AS t_stat, round(predicted_prob, 6) AS predicted_prob, rank, novel_candidate FROM welch LEFT JOIN ranking ON ranking.gene = welch.gene""",
+)
+def j07(spark, d):
+    de = _tested(spark, d).select("gene", (F.col("m1") - F.col("m2")).alias("log2fc"), "t_stat")
+    return rounded(plots.ranked_differential(de, _ranking(spark, d)))
+
+
+@query(
+    "v04_change_histogram",
+    f"""WITH {EXPR}, {MOMENTS}, b AS (SELECT m1 - m2 AS fc FROM mom), e AS (SELECT min(fc) AS lo, (max(fc) - min(fc)) / 100 AS w, count(*) AS c FROM b),
+h AS (SELECT least(floor((fc - lo) / w), 99)::INT AS bin, count(*) AS n FROM b, e GROUP BY 1)
+SELECT r::INT AS bin, round(lo + r * w, 6) AS "left", coalesce(n, 0) AS n, round(coalesce(n, 0) / (c * w), 6) AS density FROM range(100) t(r) CROSS JOIN e LEFT JOIN h ON bin = r""",
+)
+def v04(spark, d):
+    return rounded(plots.change_histogram(_tested(spark, d).select((F.col("m1") - F.col("m2")).alias("log2fc"))))
+
+
+@query(
+    "t11_first_significant",
+    f"""WITH {EXPR}, {MOMENTS}, {WELCH_TESTS}, {EVERY_P}, {EVERY_Q}
+SELECT gene, round(fc, 6) AS log2fc, round(q, 5) AS pvalue_adj FROM de WHERE q <= 0.05 AND abs(fc) >= 1 ORDER BY round(q, 6), round(abs(fc), 9) DESC, gene LIMIT 200""",
+)
+def t11(spark, d):
+    top = plots.first_significant(stats.differential(views.expr_long(spark, d)))
+    return top.select("gene", F.round("log2fc", 6).alias("log2fc"), F.round("pvalue_adj", 5).alias("pvalue_adj"))
+
+
+@query("v09_class_balance", f"WITH {CLASSES} SELECT label, CASE label WHEN 1 THEN 'positive' ELSE 'unlabeled' END AS pu_status, count(*) AS n, round(count(*) / (SELECT count(*) FROM cls), 6) AS share FROM cls GROUP BY label")
+def v09(spark, d):
+    return rounded(plots.class_balance(_classes(spark, d)))
+
+
+@query(
+    "v14_degree_against_rank",
+    f"""WITH {EDGES}, {EMB_RANK} SELECT er.gene, rank::INT AS rank, coalesce(degree, 0) AS degree, CASE WHEN label = 1 THEN 'known' WHEN p >= 0.5 THEN 'novel' ELSE 'other' END AS category FROM er LEFT JOIN deg ON deg.gene = er.gene""",
+)
+def v14(spark, d):
+    s = _emb_ranking(spark, d)
+    return plots.degree_against_rank(metrics.rank_genes(s.select("gene", "score"), s.select("gene", "label")), graph.degrees(_edges(spark, d)))
+
+
+@query("t10_top_pathways", f"WITH {ENRICH} SELECT pathway, round(q, 5) AS padj, k AS overlap_genes FROM adj WHERE k >= 3 AND q < 1.01 ORDER BY round(q, 9), pathway LIMIT 20")
+def t10(spark, d):
+    return plots.top_pathways(_enriched(spark, d), fdr=1.01).select("pathway", F.round("padj", 5).alias("padj"), "overlap_genes")
+
+
+IMPORTANCE = """
+long AS (SELECT unnest(['tumor_mean', 'tumor_std', 'normal_mean', 'normal_std', 'log2fc', 'abs_log2fc']) AS feature, unnest([m1, sqrt(v1), m2, sqrt(v2), m1 - m2, abs(m1 - m2)]) AS x FROM mom),
+raw_importance AS (SELECT feature, greatest(avg(x), 0) AS a, stddev_samp(x) AS b FROM long GROUP BY 1),
+importance AS (
+  SELECT feature, (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER () + 1e-12) AS level, (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER () + 1e-12) AS spread,
+         CASE WHEN starts_with(feature, 'tumor') THEN 'Tumor Expression Stats' WHEN starts_with(feature, 'normal') THEN 'Normal Expression Stats' ELSE 'Differential Expression' END AS feature_group
+  FROM raw_importance)"""
+
+
+def _importance(spark, d):
+    m = _tested(spark, d)
+    change = F.col("m1") - F.col("m2")
+    values = {"tumor_mean": F.col("m1"), "tumor_std": F.sqrt("v1"), "normal_mean": F.col("m2"), "normal_std": F.sqrt("v2"), "log2fc": change, "abs_log2fc": F.abs(change)}
+    both = m.agg(*(F.avg(v).alias(f"a_{f}") for f, v in values.items()), *(F.stddev_samp(v).alias(f"b_{f}") for f, v in values.items())).first()  # one row
+    return ml.importance_table(spark, {"level": {f: both[f"a_{f}"] for f in values}, "spread": {f: both[f"b_{f}"] for f in values}})
+
+
+@query(
+    "m21_importance_table",
+    f"""WITH {EXPR}, {MOMENTS}, {IMPORTANCE} SELECT feature, feature_group, round(level, 6) AS level, round(spread, 6) AS spread, round((level + spread) / 2, 6) AS mean_importance,
+round(abs(level - spread) / sqrt(2), 6) AS std_importance, row_number() OVER (ORDER BY level + spread DESC, feature)::INT AS rank FROM importance""",
+)
+def m21(spark, d):
+    return rounded(_importance(spark, d))
+
+
+@query("a15_group_importance", f"WITH {EXPR}, {MOMENTS}, {IMPORTANCE} SELECT feature_group, count(*) AS features, round(avg((level + spread) / 2), 6) AS mean_importance FROM importance GROUP BY 1")
+def a15(spark, d):
+    return rounded(plots.group_importance(_importance(spark, d)))
+
+
+@query("x08_trim_unlabelled", f"WITH {SCORED} SELECT gene, label FROM scored WHERE label = 1 OR score < 0.9")
+def x08(spark, d):
+    s = views.scored(spark, d)
+    return features.trim_unlabelled(s.select("gene", "label"), s.select("gene", "score"))
+
+
+@query(
+    "a24_run_summary",
+    f"""WITH {EDGES}, {EMB_RANK} SELECT count(*) AS n_genes, count(*) FILTER (label = 1) AS n_known, count(*) FILTER (p >= 0.5 AND label <> 1) AS n_novel, round(avg(p), 6) AS mean_prob,
+(SELECT count(*) FROM edges) AS n_edges, round((SELECT avg(abs_weight) FROM edges), 5) AS mean_abs_weight FROM er""",
+)
+def a24(spark, d):
+    s = _emb_ranking(spark, d)
+    out = plots.run_summary(metrics.rank_genes(s.select("gene", "score"), s.select("gene", "label")), _edges(spark, d))
+    return out.withColumns({"mean_prob": F.round("mean_prob", 6), "mean_abs_weight": F.round("mean_abs_weight", 5)})
+
+
+# sinks, read back
+
+
+@query("k01_k02_csv_round_trip", "SELECT s_suppkey, s_name, round(s_acctbal, 2) AS s_acctbal, s_nationkey FROM supplier")
+def k01(spark, d):
+    where = f"{ensure_checkpoint_dir(spark)}/sinks/{uuid4().hex}"
+    s = views.table(spark, d, "supplier").select("s_suppkey", "s_name", F.round("s_acctbal", 2).alias("s_acctbal"), "s_nationkey")
+    sinks.write_table(s, where, ("csv",))
+    return spark.read.schema(s.schema).option("header", True).csv(f"{where}.csv")
+
+
+@query("k05_s02_own_matrix", f"WITH {EXPR} SELECT gene::VARCHAR AS gene, cohort, round(avg(value), 5) AS mean FROM expr GROUP BY 1, 2")
+def k05(spark, d):
+    where = f"{ensure_checkpoint_dir(spark)}/sinks/{uuid4().hex}"
+    wide = views.expr_long(spark, d).groupBy(F.col("gene").cast("string").alias("gene")).pivot("cohort", ["normal", "tumor"]).agg(F.avg("value"))
+    sinks.write_table(wide, where, ("csv",))
+    long = readers.own_matrix(spark, f"{where}.csv", "both")
+    return long.select("gene", F.col("sample").alias("cohort"), F.round("value", 5).alias("mean"))

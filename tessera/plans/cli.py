@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import argparse
 import logging
+import re
 import shutil
 import sys
 from dataclasses import fields, replace
+from pathlib import Path
 
 from tessera.config import EngineConfig, validate_inputs
 
@@ -55,7 +57,9 @@ def main(args: list[str] | None = None) -> int:
         print("\n".join(catalog.QUERIES))
         return 0
     if a.verb == "cache":
-        shutil.rmtree(a.output, ignore_errors=True)
+        for folder in Path(a.output).glob("*"):  # the engine's own folders, named by a configuration's key
+            if folder.is_dir() and re.fullmatch("[0-9a-f]{16}", folder.name):
+                shutil.rmtree(folder)
         return 0
     paths = {n: getattr(a, n) for n in ("case", "control", "labels", "case_metadata", "control_metadata", "genes", "gene_sets") if getattr(a, n)}
     try:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import EngineConfig
-from tessera.operators import clean, enrich, features, graph, metrics, ml, stats
+from tessera.operators import clean, enrich, features, graph, metrics, ml, plots, stats
 from tessera.plans import report
 from tessera.sources import sinks
 
@@ -131,7 +131,7 @@ class Engine:
 
     def _labels(self):
         labels = features.label_genes(self.table("features").select("gene"), self.table("label_genes"))
-        return {"gene_labels": labels, "gene_annotation": features.annotate(labels, self.table("de_results"))}
+        return {"gene_labels": labels, "gene_annotation": features.annotate(labels, self.table("de_results")), "class_balance": plots.class_balance(labels)}
 
     def _split(self):
         df = self.table("features").join(self.table("gene_labels").select("gene", "label"), "gene")
@@ -170,7 +170,8 @@ class Engine:
         methods = {name: model.importance()} if hasattr(model, "importance") else {}
         drops = ml.permutation_importance(model, self.table("holdout"), self._columns(), self.config.importance_repeats, self.config.seed)
         methods["permutation"] = {r["feature"]: r["importance"] or 0.0 for r in drops.collect()}  # a row per feature
-        return {"feature_importance": ml.importance_table(self.spark, methods)}
+        found = ml.importance_table(self.spark, methods)
+        return {"feature_importance": found, "group_importance": plots.group_importance(found)}
 
     def _rank(self):
         name, model = self._best()
@@ -188,7 +189,11 @@ class Engine:
     def _annotate(self):
         ranking = self.table("gene_rankings")
         nodes = graph.annotated_nodes(self.table("nodes"), ranking, self.table("network_features"))
-        return {"annotated_nodes": nodes, "annotated_edges": graph.annotated_edges(self.table("edges"), ranking, self.config.prob_threshold), "network_stats": graph.statistics(self.table("edges"), self.table("nodes")), "hubs": graph.hubs(self.table("edges"))}
+        return {
+            "annotated_nodes": nodes, "annotated_edges": graph.annotated_edges(self.table("edges"), ranking, self.config.prob_threshold), "network_stats": graph.statistics(self.table("edges"), self.table("nodes")), "hubs": graph.hubs(self.table("edges")), "run_summary": plots.run_summary(ranking, self.table("edges")),
+            "degree_against_rank": plots.degree_against_rank(ranking, self.table("network_features")), "ranked_differential": plots.ranked_differential(self.table("de_results"), ranking),
+            "first_significant": plots.first_significant(self.table("de_results")), "change_histogram": plots.change_histogram(self.table("de_results")),
+        }
 
     def _export(self):
         nodes, edges = self.table("annotated_nodes"), self.table("annotated_edges")
@@ -204,7 +209,9 @@ class Engine:
             return None
         lists = enrich.high_confidence(self.table("gene_rankings"), self.config.high_confidence)
         results = {k: enrich.enrich(g, self.inputs.gene_sets, self.table("features").select("gene"), self.config.min_overlap) for k, g in lists.items()}
-        return {"pathways": results["all"], "pathway_summary": enrich.summarise(results)}
+        if self.config.pathway_names:
+            results = {k: r.filter(enrich.name_matches("pathway", list(self.config.pathway_names))) for k, r in results.items()}
+        return {"pathways": results["all"], "pathway_summary": enrich.summarise(results), "top_pathways": plots.top_pathways(results["all"], fdr=self.config.fdr)}
 
     def _report(self):
         self._sections = report.write(self)
