@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,17 +27,36 @@ def drop_constant(df: DataFrame, least: float = 1e-8) -> DataFrame:
 
 
 def correlated_pairs(df: DataFrame, least: float = 0.95) -> DataFrame:
-    """Feature pairs with |Pearson r| >= least, strongest first: feature_a, feature_b, pearson_r (4 places). One pass."""
+    """Feature pairs with |Pearson r| >= least, strongest first: feature_a, feature_b, pearson_r (4 places).
+
+    Each pair is of the rows that have both as finite numbers; r is missing where one of them doesn't vary there. Tasks multiply
+    centred blocks of rows and give one row of sums a pair, so what is shuffled doesn't grow with the rows of a task.
+    """
     columns = feature_columns(df)
-    pairs = list(combinations(columns, 2))
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
-        aggs.append(F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y)).alias(f"r{i}"))
-    row = df.agg(*aggs)
-    stacked = row.select(F.explode(F.array(*(F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)))).alias("p"))
-    out = stacked.select("p.*").filter(F.abs("r") >= least)
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, pearson_r double")
+    known = [F.when(F.abs(c) < float("inf"), F.col(c).cast("double")) for c in columns]
+    middle = np.array([c or 0.0 for c in df.agg(*map(F.avg, known)).first()])  # one row
+    i, j = np.triu_indices(len(columns), 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((4, len(columns), len(columns)))
+        for pdf in batches:
+            x = pdf.to_numpy(float, na_value=np.nan)
+            have = np.isfinite(x)
+            x, have = np.where(have, x - middle, 0.0), have.astype(float)
+            total += np.stack([have.T @ have, x.T @ have, (x * x).T @ have, x.T @ x])
+        n, one, square, cross = total
+        yield pd.DataFrame({"_i": i, "_j": j, "n": n[i, j], "x": one[i, j], "y": one[j, i], "xx": square[i, j], "yy": square[j, i], "xy": cross[i, j]})
+
+    sums = ("n", "x", "y", "xx", "yy", "xy")
+    parts = df.select(*(v.alias(c) for v, c in zip(known, columns, strict=True))).mapInPandas(run, "_i long, _j long, " + ", ".join(f"{c} double" for c in sums))
+    held = parts.groupBy("_i", "_j").agg(*(F.sum(c).alias(c) for c in sums))
+    about = lambda one, square: F.col(square) - F.try_divide(F.col(one) ** 2, F.col("n"))
+    spread = lambda one, square: F.when(about(one, square) > 1e-12 * F.col(square), about(one, square))
+    r = F.try_divide(F.col("xy") - F.try_divide(F.col("x") * F.col("y"), F.col("n")), F.sqrt(spread("x", "xx")) * F.sqrt(spread("y", "yy")))
+    names = F.array(*map(F.lit, columns))
+    out = held.select(names[F.col("_i")].alias("feature_a"), names[F.col("_j")].alias("feature_b"), r.alias("r")).filter(F.abs("r") >= least)
     return out.select("feature_a", "feature_b", F.round("r", 4).alias("pearson_r")).orderBy(F.abs("pearson_r").desc(), "feature_a", "feature_b")
 
 

@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from tessera.operators import features, ml, plots
@@ -57,3 +59,17 @@ def test_cache_clear_leaves_other_folders(tmp_path):
         (tmp_path / name).mkdir()
     assert cli.main(["cache", "clear", "--output", str(tmp_path)]) == 0
     assert [p.name for p in tmp_path.iterdir()] == ["mine"]
+
+
+def test_correlated_pairs_are_of_rows_with_both(spark):
+    rng = np.random.default_rng(1)
+    x = pd.DataFrame({"a": rng.normal(1e6, 1, 300)})
+    x["b"], x["c"], x["d"] = x.a + rng.normal(0, 0.1, 300), -3 * x.a, 7.3
+    x.loc[:40, "b"] = None
+    x["gene"] = [str(i) for i in range(300)]
+    rows = spark.createDataFrame(x.astype(object).where(x.notna(), None), "a double, b double, c double, d double, gene string").repartition(5)
+    got = {(r.feature_a, r.feature_b): r.pearson_r for r in features.correlated_pairs(rows, 0.9).collect()}
+    both = x.b.notna()
+    want = {("a", "b"): np.corrcoef(x.a[both], x.b[both])[0, 1], ("a", "c"): -1.0, ("b", "c"): np.corrcoef(x.b[both], x.c[both])[0, 1]}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in got)
+    assert features.correlated_pairs(rows.limit(0)).count() == 0 and features.correlated_pairs(rows.select("gene")).count() == 0
