@@ -69,14 +69,23 @@ def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(out).where(good, None)
 
 
+#: Terms of hypergeometric tails laid out at once (a row's own terms always are).
+TERMS = 1_000_000
+
+
 @F.pandas_udf(DoubleType())
 def hypergeometric_tail(hits: pd.Series, drawn: pd.Series, marked: pd.Series, total: pd.Series) -> pd.Series:
     """P(X >= hits) for `drawn` draws without replacement from `total` things of which `marked` count."""
     k, n, m, t = (x.to_numpy(float) for x in (hits, drawn, marked, total))
     choose = lambda a, b: log_gamma(a + 1) - log_gamma(b + 1) - log_gamma(a - b + 1)
-    out = np.zeros(len(k))
-    for i in range(len(k)):  # a row sums at most min(drawn, marked) terms
-        x = np.arange(max(k[i], n[i] + m[i] - t[i], 0), min(n[i], m[i]) + 1)
-        if len(x):
-            out[i] = np.exp(choose(np.full(len(x), m[i]), x) + choose(np.full(len(x), t[i] - m[i]), n[i] - x) - choose(np.full(len(x), t[i]), np.full(len(x), n[i]))).sum()
+    out, low = np.zeros(len(k)), np.maximum(np.maximum(k, n + m - t), 0)
+    size = np.maximum(np.minimum(n, m) - low + 1, 0).astype(np.int64)  # terms of each row
+    rows = np.flatnonzero(size)
+    upto = np.cumsum(size[rows])
+    for lot in np.split(rows, np.searchsorted(upto, np.arange(TERMS, upto[-1], TERMS))) if len(rows) else ():
+        if len(lot):
+            start = np.cumsum(size[lot]) - size[lot]
+            row = np.repeat(lot, size[lot])
+            x = low[row] + np.arange(len(row)) - np.repeat(start, size[lot])
+            out[lot] = np.add.reduceat(np.exp(choose(m[row], x) + choose(t[row] - m[row], n[row] - x) - choose(t[row], n[row])), start)
     return pd.Series(np.minimum(out, 1.0))
