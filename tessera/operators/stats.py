@@ -138,12 +138,16 @@ def percentile_rank(df: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def expression_features(expr: DataFrame, de: DataFrame) -> DataFrame:
-    """The 29 features of every gene: 8 statistics a cohort, 5 of the differential test, 3 ratios, 5 ranks; none missing."""
+    """The 29 features of every gene: 8 statistics a cohort, 5 of the differential test, 3 ratios, 5 ranks; none missing.
+
+    A gene without a test has 0 for what the test measures; its absolute change is missing, so it ranks last and gets the median.
+    """
     wide = expression_stats(expr).groupBy("gene").agg(
         *(F.first(F.when(F.col("cohort") == cohort, F.col(s)), ignorenulls=True).alias(f"{name}_{s}") for name, cohort in (("tumor", CASE), ("normal", CONTROL)) for s in STATS)
     )
-    tests = de.select("gene", *(F.coalesce(finite(c), F.lit(0.0)).alias(c) for c in ("log2fc", "neg_log10_padj", "cohens_d", "t_stat"))).withColumn("abs_log2fc", F.abs("log2fc"))
-    df = wide.join(tests, "gene", "left")
+    measures = ("log2fc", "neg_log10_padj", "cohens_d", "t_stat")
+    tests = de.select("gene", *(finite(c).alias(c) for c in measures), F.abs(F.coalesce(finite("log2fc"), F.lit(0.0))).alias("abs_log2fc"))
+    df = wide.join(tests, "gene", "left").fillna(0.0, list(measures))
     ratios = {f"tumor_normal_{s}_ratio": F.col(f"tumor_{s}") / (F.col(f"normal_{s}") + EPSILON) for s in ("mean", "std", "iqr")}
     df = cut(winsorise(df.withColumns({k: finite(v) for k, v in ratios.items()}), list(ratios)))
     out = df
