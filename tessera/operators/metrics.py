@@ -41,10 +41,10 @@ def confusion(scored: DataFrame, threshold: float | Column = 0.5) -> DataFrame:
     return scored.agg(*(F.count_if(x).alias(n) for n, x in (("tn", ~yes & ~true), ("fp", yes & ~true), ("fn", ~yes & true), ("tp", yes & true))))
 
 
-def ratios(c: DataFrame) -> DataFrame:
-    """accuracy, precision, recall, f1 and mcc of a confusion row; 0 where a denominator is."""
+def ratios(c: DataFrame, undefined: float = 0.0) -> DataFrame:
+    """accuracy, precision, recall, f1 and mcc of a confusion row; `undefined` where a denominator is 0."""
     tp, tn, fp, fn = (F.col(x).cast("double") for x in ("tp", "tn", "fp", "fn"))
-    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    zero = lambda x: F.coalesce(x, F.lit(undefined))
     return c.withColumns(
         {
             "accuracy": zero(F.try_divide(tp + tn, tp + tn + fp + fn)),
@@ -80,24 +80,24 @@ def best_threshold(scored: DataFrame, strategy: str = "f1", target_recall: float
     return out.select((F.coalesce("t", F.lit(0.5)) if fallback else F.col("t")).alias("threshold"))
 
 
-def at_k(scored: DataFrame, ks: tuple[int, ...] = (50, 100, 200), key: str = "gene") -> DataFrame:
-    """k, hits, recall and precision of the k highest scores, ties by key."""
+def at_k(scored: DataFrame, ks: tuple[int, ...] = (50, 100, 200), key: str = "gene", undefined: float = 0.0) -> DataFrame:
+    """k, hits, recall (`undefined` without positives) and precision of the k highest scores, ties by key."""
     first = scored.select("score", "label", key).orderBy(F.desc("score"), key).limit(max(ks))  # a top-k report
     placed = first.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(key).alias("k"), F.col("label").alias("l")))).alias("rows"))
     total = scored.agg(F.sum("label").alias("_pos"))
     rows = placed.crossJoin(total).select(F.explode(F.array(*map(F.lit, ks))).alias("k"), "rows", "_pos")
     hits = F.aggregate(F.slice("rows", F.lit(1), F.col("k")), F.lit(0).cast("long"), lambda a, r: a + r["l"].cast("long"))
-    return rows.select("k", hits.alias("hits"), F.coalesce(F.try_divide(hits, F.col("_pos")), F.lit(0.0)).alias("recall"), (hits / F.col("k")).alias("precision"))
+    return rows.select("k", hits.alias("hits"), F.coalesce(F.try_divide(hits, F.col("_pos")), F.lit(undefined)).alias("recall"), (hits / F.col("k")).alias("precision"))
 
 
-def evaluate(scored: DataFrame, model: str, strategy: str = "f1", **targets) -> DataFrame:
-    """One row of model metrics, rounded to 4 places."""
+def evaluate(scored: DataFrame, model: str, strategy: str = "f1", undefined: float = 0.0, **targets) -> DataFrame:
+    """One row of model metrics, rounded to 4 places; ratios whose denominator is 0 are `undefined`."""
     t = best_threshold(scored, strategy, **targets)
-    opt = ratios(confusion(scored.crossJoin(F.broadcast(t)), F.col("threshold"))).select(
+    opt = ratios(confusion(scored.crossJoin(F.broadcast(t)), F.col("threshold")), undefined).select(
         "accuracy", "mcc", F.col("precision").alias("precision_opt"), F.col("recall").alias("recall_opt"), F.col("f1").alias("f1_opt")
     )
-    half = ratios(confusion(scored)).select(F.col("f1").alias("f1_at_05"))
-    ks = at_k(scored).groupBy().pivot("k", [50, 100, 200]).agg(F.first("recall").alias("r"), F.first("precision").alias("p"))
+    half = ratios(confusion(scored), undefined).select(F.col("f1").alias("f1_at_05"))
+    ks = at_k(scored, undefined=undefined).groupBy().pivot("k", [50, 100, 200]).agg(F.first("recall").alias("r"), F.first("precision").alias("p"))
     ks = ks.select(*(F.col(f"{k}_r").alias(f"recall_at_{k}") for k in (50, 100, 200)), *(F.col(f"{k}_p").alias(f"precision_at_{k}") for k in (50, 100)))
     out = auroc(scored).crossJoin(average_precision(scored).withColumnRenamed("average_precision", "auprc")).crossJoin(brier(scored))
     out = out.crossJoin(opt).crossJoin(half).crossJoin(t.withColumnRenamed("threshold", "optimal_threshold")).crossJoin(ks)  # one row each
