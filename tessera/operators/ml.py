@@ -68,44 +68,85 @@ class Model:
         return {c: abs(float(v)) for c, v in zip(self.columns, values.toArray(), strict=True)}
 
 
-def _grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, rng: np.random.Generator, tries: int, most_depth: int) -> list[tuple]:
-    """One extremely randomised tree: rows (feature or -1, threshold, left, right, probability)."""
-    nodes: list[list] = []
-
-    def build(rows: np.ndarray, depth: int) -> int:
-        at = len(nodes)
-        positive, total = (w[rows] * y[rows]).sum(), w[rows].sum()
-        nodes.append([-1, 0.0, -1, -1, float(positive / total)])
-        if depth >= most_depth or len(rows) < 2 or positive == 0 or positive == total:
-            return at
-        best = None
-        for f in rng.permutation(x.shape[1])[:tries]:
-            v = x[rows, f]
-            low, high = v.min(), v.max()
-            if low == high:
-                continue
-            cut = rng.uniform(low, high)
-            left = v <= cut
-            a, b = w[rows[left]].sum(), w[rows[~left]].sum()
-            if not a or not b:
-                continue
-            pa, pb = (w[rows[left]] * y[rows[left]]).sum() / a, (w[rows[~left]] * y[rows[~left]]).sum() / b
-            impurity = a * pa * (1 - pa) + b * pb * (1 - pb)
-            if best is None or impurity < best[0]:
-                best = (impurity, f, cut, left)
-        if best is not None:
-            _, f, cut, left = best
-            nodes[at][:2] = [int(f), float(cut)]
-            nodes[at][2] = build(rows[left], depth + 1)
-            nodes[at][3] = build(rows[~left], depth + 1)
-        return at
-
-    build(np.arange(len(y)), 0)
-    return [tuple(n) for n in nodes]
+#: A node of a tree, 14 bytes: feature (-1 in a leaf), number of its left child (the right one is next), threshold or probability.
+NODE = np.dtype([("feature", "<i2"), ("left", "<i4"), ("value", "<f8")])
+#: Bytes of trees that the driver holds and sends to the tasks at once.
+SHARE = 32_000_000
+
+
+def _grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, rng: np.random.Generator, tries: int, most_depth: int) -> np.ndarray:
+    """One extremely randomised tree as NODEs, all nodes of a level at once."""
+    levels, rows, start, first, mine = [], np.arange(len(y)), np.zeros(1, np.int64), 0, w * y
+    for depth in range(most_depth + 1):
+        size = np.diff(np.append(start, len(rows)))
+        positive, total = np.add.reduceat(mine[rows], start), np.add.reduceat(w[rows], start)
+        level = np.zeros(len(size), NODE)
+        level["feature"], level["value"] = -1, positive / total
+        levels.append(level)
+        live = np.flatnonzero((size > 1) & (positive > 0) & (positive < total)) if depth < most_depth else []
+        if not len(live):
+            break
+        rows = rows[np.repeat(np.isin(np.arange(len(size)), live), size)]
+        size, positive, total = size[live], positive[live], total[live]
+        start = np.cumsum(size) - size
+        ww, wy = w[rows], mine[rows]
+        chosen = rng.random((len(live), x.shape[1])).argpartition(tries - 1, axis=1)[:, :tries]
+        best, feature, cut_at, goes = np.full(len(live), np.inf), np.zeros(len(live), np.int64), np.zeros(len(live)), np.zeros(len(rows), bool)
+        for f in chosen.T:
+            v = x[rows, np.repeat(f, size)]
+            low, high = np.minimum.reduceat(v, start), np.maximum.reduceat(v, start)
+            at = rng.uniform(low, high)
+            left = v <= np.repeat(at, size)
+            n = np.add.reduceat(left, start, dtype=np.int64)
+            a, p = np.add.reduceat(ww * left, start), np.add.reduceat(wy * left, start)
+            b, q = total - a, positive - p
+            with np.errstate(divide="ignore", invalid="ignore"):
+                impurity = p * (1 - p / a) + q * (1 - q / b)
+            better = (n > 0) & (n < size) & (impurity < best)
+            best, feature, cut_at = np.where(better, impurity, best), np.where(better, f, feature), np.where(better, at, cut_at)
+            goes = np.where(np.repeat(better, size), left, goes)
+        split = np.isfinite(best)
+        if not split.any():
+            break
+        first += len(level)
+        at = live[split]
+        level["feature"][at], level["value"][at], level["left"][at] = feature[split], cut_at[split], first + 2 * np.arange(len(at))
+        kept = np.repeat(split, size)
+        child = (np.repeat(2 * (np.cumsum(split) - 1), size) + ~goes)[kept]
+        order = np.argsort(child, kind="stable")
+        rows = rows[kept][order]
+        sizes = np.bincount(child, minlength=2 * len(at))
+        start = np.cumsum(sizes) - sizes
+    return np.concatenate(levels)
+
+
+def _vote(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The probability of the leaf of each row."""
+    feature, left, value = (np.ascontiguousarray(tree[c]) for c in ("feature", "left", "value"))
+    at, live = np.zeros(len(x), np.int64), np.arange(len(x))
+    while len(live):
+        live = live[feature[at[live]] >= 0]
+        here = at[live]
+        at[live] = left[here] + (x[live, feature[here]] > value[here])
+    return value[at]
+
+
+def _votes(held):
+    """Column form: the sum of the votes of the trees that are broadcast."""
+
+    @F.pandas_udf("double")
+    def votes(rows: pd.Series) -> pd.Series:
+        x = np.array(rows.tolist(), float).reshape(len(rows), -1)
+        return pd.Series(sum((_vote(np.frombuffer(t, NODE), x) for t in held.value), np.zeros(len(x))))
+
+    return votes
 
 
 class ExtraTrees:
-    """Extremely randomised trees on balanced weights: one task grows each share of the trees from a broadcast table."""
+    """Extremely randomised trees on balanced weights: one task grows each share of the trees from a broadcast table.
+
+    The driver holds the training rows as packed arrays, never the trees, which may be larger than the rows by far.
+    """
 
     def __init__(self, trees: int = 500, most_depth: int = 40, seed: int = 42):
         self.trees, self.most_depth, self.seed = trees, most_depth, seed
@@ -113,52 +154,66 @@ class ExtraTrees:
     def fit(self, train: DataFrame, columns: list[str]) -> ExtraTreesModel:
         if (n := train.count()) > LOCAL_ROWS:
             raise ValueError(f"extra trees take up to {LOCAL_ROWS} training rows, not {n}")
-        spark, depth, seed = train.sparkSession, self.most_depth, self.seed
-        pdf = with_weights(train).select("gene", "label", "weight", *columns).toPandas().sort_values("gene")
-        shared = spark.sparkContext.broadcast((pdf[columns].to_numpy(float), pdf["label"].to_numpy(float), pdf["weight"].to_numpy(float)))
+        spark, depth, seed, wide = train.sparkSession, self.most_depth, self.seed, len(columns) + 2
+
+        def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for i, pdf in enumerate(batches):
+                yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "i": [i], "rows": [np.ascontiguousarray(pdf.to_numpy(float)).tobytes()]})
+
+        sorted_rows = with_weights(train).orderBy("gene").select("label", "weight", *columns)
+        parts = sorted(sorted_rows.mapInPandas(packed, "part int, i int, rows binary").collect(), key=lambda r: (r.part, r.i))  # up to LOCAL_ROWS rows
+        table = np.frombuffer(b"".join(r.rows for r in parts)).reshape(-1, wide)
+        del parts
+        shared = spark.sparkContext.broadcast(table)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            x, y, w = shared.value
+            y, w, x = shared.value[:, 0].copy(), shared.value[:, 1].copy(), shared.value[:, 2:]
             tries = max(1, int(np.sqrt(x.shape[1])))
             for batch in batches:
                 for tree in batch["id"]:
-                    rows = _grow(x, y, w, np.random.default_rng([seed, int(tree)]), tries, depth)
-                    yield pd.DataFrame([(tree, i, *r) for i, r in enumerate(rows)], columns=["tree", "node", "feature", "cut", "yes", "no", "p"])
+                    nodes = _grow(x, y, w, np.random.default_rng([seed, int(tree)]), tries, depth)
+                    used = np.bincount(nodes["feature"][nodes["feature"] >= 0], minlength=x.shape[1])
+                    yield pd.DataFrame({"tree": [tree], "size": [nodes.nbytes], "used": [used.tolist()], "nodes": [nodes.tobytes()]})
 
-        found = spark.range(self.trees).repartition(min(self.trees, 64)).mapInPandas(run, "tree long, node int, feature int, cut double, yes int, no int, p double").toPandas()
-        return ExtraTreesModel([g.sort_values("node")[["feature", "cut", "yes", "no", "p"]].to_numpy(float) for _, g in found.groupby("tree")], columns)
+        grown = cut(spark.range(self.trees).repartition(min(self.trees, 64)).mapInPandas(run, "tree long, size long, used array<long>, nodes binary"))
+        shared.destroy()
+        return ExtraTreesModel(grown, columns)
 
 
 class ExtraTreesModel:
-    def __init__(self, trees: list[np.ndarray], columns: list[str]):
-        self.trees, self.columns = trees, columns
+    """trees: tree, size (bytes), used (splits by each feature), nodes (NODEs), written."""
 
-    def score(self, df: DataFrame) -> DataFrame:
-        shared = df.sparkSession.sparkContext.broadcast(self.trees)
+    def __init__(self, trees: DataFrame, columns: list[str]):
+        self.trees, self.columns = trees, columns
 
-        @F.pandas_udf("double")
-        def vote(rows: pd.Series) -> pd.Series:
-            x = np.array(rows.tolist(), float).reshape(len(rows), -1)
-            total = np.zeros(len(x))
-            for tree in shared.value:
-                at = np.zeros(len(x), int)
-                while True:
-                    feature = tree[at, 0].astype(int)
-                    inner = feature >= 0
-                    if not inner.any():
-                        break
-                    yes = x[np.arange(len(x)), np.maximum(feature, 0)] <= tree[at, 1]
-                    at = np.where(inner, np.where(yes, tree[at, 2], tree[at, 3]).astype(int), at)
-                total += tree[at, 4]
-            return pd.Series(total / len(shared.value))
+    def shares(self) -> list[tuple[int, int]]:
+        """First and last tree of shares of up to SHARE bytes (a larger tree is one of its own)."""
+        out, have = [], 0
+        for r in self.trees.select("tree", "size").orderBy("tree").collect():  # two numbers a tree
+            if out and have + r["size"] <= SHARE:
+                out[-1], have = (out[-1][0], r.tree), have + r["size"]
+            else:
+                out, have = [*out, (r.tree, r.tree)], r["size"]
+        return out
 
-        keep = [c for c in ("gene", "label") if c in df.columns]
-        return df.select(*keep, vote(F.array(*(F.col(c).cast("double") for c in self.columns))).alias("score"))
+    def score(self, df: DataFrame) -> DataFrame:
+        """The mean vote; one pass over the rows for each share of the trees, which are written between passes."""
+        spark, keep, n = df.sparkSession, [c for c in ("gene", "label") if c in df.columns], self.trees.count()
+        rows = df.select(*keep, F.array(*(F.col(c).cast("double") for c in self.columns)).alias("_x"), F.lit(0.0).alias("_total"))
+        shares = self.shares()
+        for k, (first, last) in enumerate(shares):
+            held = spark.sparkContext.broadcast([bytes(r.nodes) for r in self.trees.filter(F.col("tree").between(first, last)).select("tree", "nodes").orderBy("tree").collect()])
+
+            rows = rows.withColumn("_total", F.col("_total") + _votes(held)("_x"))
+            if k + 1 < len(shares):
+                rows = cut(rows)
+                held.destroy()
+        return rows.select(*keep, (F.col("_total") / n).alias("score"))
 
     def importance(self) -> dict[str, float]:
         """Share of splits that use each feature."""
-        used = np.concatenate([t[t[:, 0] >= 0, 0] for t in self.trees]).astype(int)
-        return dict(zip(self.columns, (np.bincount(used, minlength=len(self.columns)) / max(len(used), 1)).tolist(), strict=True))
+        used = self.trees.select(*(F.sum(F.col("used")[i]).alias(f"_{i}") for i in range(len(self.columns)))).first()
+        return {c: (v or 0) / max(sum(x or 0 for x in used), 1) for c, v in zip(self.columns, used, strict=True)}
 
 
 def _summed(rows: DataFrame, part, size: int) -> np.ndarray:
