@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import TaskContext, inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -19,6 +20,10 @@ from tessera.operators import features, metrics
 
 #: Rows that the array-based models (extra trees, oversampling) take from a training table; a larger one is refused.
 LOCAL_ROWS = 200_000
+#: Training rows of a part in cross-validation, and of the folds that are worked on side by side.
+PART_ROWS, TOGETHER = 20_000, 200_000
+#: Folds worked on side by side, at most: each holds its jobs, forests and broadcasts on the driver.
+FOLDS_TOGETHER = 2
 
 
 def assemble(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -363,19 +368,41 @@ def smote(train: DataFrame, columns: list[str], neighbours: int = 5, seed: int =
     return base.unionByName(made.select("gene", F.col("label").cast(train.schema["label"].dataType).alias("label"), *columns))
 
 
+def _compact(train: DataFrame) -> tuple[DataFrame, int]:
+    """Training rows, written, in parts of up to PART_ROWS rows, and their number. Fits make thousands of passes over them,
+    each a task a part."""
+    train = cut(train)
+    n = train.count()
+    return train.coalesce(max(1, -(-n // PART_ROWS))), n
+
+
 def cross_validate(df: DataFrame, columns: list[str], chosen: dict[str, object], undersample: bool = True, oversample: bool = False, seed: int = 42) -> DataFrame:
-    """model, cv_fold, auroc, auprc, f1, mcc of each model and fold; df has cv_fold. Resampling touches training folds only."""
-    rows = []
+    """model, cv_fold, auroc, auprc, f1, mcc of each model and fold; df has cv_fold. Resampling touches training folds only.
+
+    Rows and training folds are written once for all models. Up to FOLDS_TOGETHER folds, if they have up to TOGETHER training rows, are worked
+    on side by side, since a fit over few rows waits for its jobs most of the time.
+    """
+    df = cut(df)
     folds = [r[0] for r in df.select("cv_fold").distinct().orderBy("cv_fold").collect()]  # a handful
-    for name, model in chosen.items():
-        for fold in folds:
-            train = df.filter(F.col("cv_fold") != fold)
-            train = smote(train, columns, seed=seed) if oversample else features.undersample(train, seed) if undersample else train
-            scored = model.fit(train, columns).score(df.filter(F.col("cv_fold") == fold)).cache()
+    trains = {}
+    for fold in folds:
+        train = df.filter(F.col("cv_fold") != fold)
+        trains[fold] = _compact(smote(train, columns, seed=seed) if oversample else features.undersample(train, seed) if undersample else train)
+
+    def one(fold: int) -> dict[str, tuple]:
+        found = {}
+        for name, model in chosen.items():
+            scored = model.fit(trains[fold][0], columns).score(df.filter(F.col("cv_fold") == fold)).cache()
             half = metrics.ratios(metrics.confusion(scored)).select("f1", "mcc")
-            one = metrics.auroc(scored).crossJoin(metrics.average_precision(scored).withColumnRenamed("average_precision", "auprc")).crossJoin(half)
-            rows.append(one.select(F.lit(name).alias("model"), F.lit(fold).alias("cv_fold"), "auroc", "auprc", "f1", "mcc").first())
+            row = metrics.auroc(scored).crossJoin(metrics.average_precision(scored).withColumnRenamed("average_precision", "auprc")).crossJoin(half)
+            found[name] = row.select(F.lit(name).alias("model"), F.lit(fold).alias("cv_fold"), "auroc", "auprc", "f1", "mcc").first()
             scored.unpersist()
+        return found
+
+    most = max((n for _, n in trains.values()), default=1)
+    with ThreadPoolExecutor(max(1, min(FOLDS_TOGETHER, TOGETHER // max(most, 1)))) as pool:
+        found = list(pool.map(inheritable_thread_target(df.sparkSession)(one), folds))
+    rows = [f[name] for name in chosen for f in found]
     return df.sparkSession.createDataFrame(rows, "model string, cv_fold int, auroc double, auprc double, f1 double, mcc double")
 
 

@@ -31,3 +31,12 @@ def test_trees_of_constant_or_one_sided_rows_are_leaves():
     for x, y in ((np.ones((4, 2)), np.array([0.0, 1, 0, 1])), (rng.random((4, 2)), np.zeros(4))):
         tree = ml._grow(x, y, np.ones(4), rng, 1, 40)
         assert len(tree) == 1 and np.allclose(ml._vote(tree, x), y.mean())
+
+
+def test_folds_are_resampled_once_for_all_models(spark, monkeypatch):
+    calls, undersample = [], ml.features.undersample
+    monkeypatch.setattr(ml.features, "undersample", lambda *x: calls.append(1) or undersample(*x))
+    df = ml.features.folds(table(spark, 90), 3)
+    found = ml.cross_validate(df, ["a", "b", "c"], {"few": ml.ExtraTrees(3), "more": ml.ExtraTrees(9)}).collect()
+    assert [(r.model, r.cv_fold) for r in found] == [(m, f) for m in ("few", "more") for f in (1, 2, 3)]
+    assert len(calls) == 3 and all(r.auroc > 0.5 for r in found)
