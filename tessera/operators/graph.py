@@ -133,10 +133,14 @@ def _clustering(graph: packed.Packed, degree: np.ndarray, use_weights: bool) ->
     return d.join(found, "node", "left").select("gene", c.alias("clustering_coefficient"))
 
 
-def clustering(edges: DataFrame, use_weights: bool = True) -> DataFrame:
-    """Clustering coefficient of nodes with edges: weights over their maximum, geometric mean of each triangle."""
-    edges = cut(edges)
-    graph = packed.pack(edges, endpoints(edges))
+def clustering(edges: DataFrame, use_weights: bool = True, nodes: DataFrame | None = None) -> DataFrame:
+    """Clustering coefficient of nodes with edges: weights over their maximum, geometric mean of each triangle.
+
+    Where `nodes` (all ends of edges, and perhaps others) are given, edges are only packed; else they are written first.
+    """
+    if nodes is None:
+        edges = cut(edges)
+    graph = packed.pack(edges, endpoints(edges) if nodes is None else nodes)
     return _clustering(graph, graph.degree(), use_weights)
 
 
@@ -195,12 +199,21 @@ def network_features(edges: DataFrame, nodes: DataFrame, exact_below: int = 3000
     """The 13 network features of every node of the universe; isolated ones have zeros. Edges are computed and packed once."""
     graph = packed.pack(edges, nodes)
     degree = graph.degree()
+    return _features(graph, degree, _distances(graph, exact_below, sources, seed), _eigenvector(graph, degree, 1000, 1e-6))
+
+
+def local_features(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The network features but betweenness, closeness and the eigenvector, which aren't computed."""
+    graph = packed.pack(edges, nodes)
+    return _features(graph, graph.degree())
+
+
+def _features(graph: packed.Packed, degree: np.ndarray, *more: DataFrame) -> DataFrame:
     own = graph.index.join(packed.incident(graph, degree), "node").select("gene", "degree", "weighted_degree", "avg_neighbor_degree", "mean_edge_weight", "max_edge_weight", "min_edge_weight", "std_edge_weight")
     out = graph.index.select("gene")
-    parts = (own, _distances(graph, exact_below, sources, seed), _eigenvector(graph, degree, 1000, 1e-6), _clustering(graph, degree, True), _components(graph).drop("component"))
-    for part in parts:
+    for part in (own, *more, _clustering(graph, degree, True), _components(graph).drop("component")):
         out = out.join(part, "gene", "left")
-    return out.select("gene", *NETWORK_FEATURES).fillna(0)
+    return out.select("gene", *(c for c in NETWORK_FEATURES if c in out.columns)).fillna(0)
 
 
 def induced(edges: DataFrame, genes: DataFrame) -> DataFrame:
