@@ -20,8 +20,6 @@ class EngineConfig:
     # network
     cutoff: float = 0.70
     nan_policy: str = "propagate"  # a missing value removes all edges of its row; 'pairwise' drops it from each pair
-    betweenness_sources: int = 500
-    exact_below: int = 3000
     # learning
     seed: int = 42
     test_fraction: float = 0.20

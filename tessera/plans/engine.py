@@ -121,7 +121,7 @@ class Engine:
         return {"edges": graph.weighted(edges), "nodes": genes.select("gene")}
 
     def _network_features(self):
-        return {"network_features": graph.network_features(self.table("edges"), self.table("nodes"), exact_below=self.config.exact_below, sources=self.config.betweenness_sources, seed=self.config.seed)}
+        return {"network_features": graph.network_features(self.table("edges"), self.table("nodes"))}
 
     def _integrate(self):
         raw = features.drop_constant(features.integrate(self.table("expression_features"), self.table("network_features")))

@@ -115,6 +115,18 @@ def test_distances_on_a_path_and_a_star(spark, local):
     assert got["w"].closeness_centrality == pytest.approx(2 / 2 * 2 / 7) and got["z"].closeness_centrality == 0
 
 
+def test_betweenness_of_many_nodes_is_exact(spark):
+    """Two linked hubs with 2000 and 1200 leaves: more nodes than were searched from all."""
+    a, b = 2000, 1200
+    pairs = [("a", "b"), *(("a", f"a{i}") for i in range(a)), *(("b", f"b{i}") for i in range(b))]
+    nodes = spark.createDataFrame([(x,) for x in {g for p in pairs for g in p}], "gene string")
+    got = {r.gene: r.betweenness_centrality for r in graph.distance_measures(network(spark, pairs), nodes).collect()}
+    every = (a + b + 1) * (a + b) / 2
+    assert got["a"] == pytest.approx((a * (a - 1) / 2 + a + a * b) / every, rel=1e-9)
+    assert got["b"] == pytest.approx((b * (b - 1) / 2 + b + a * b) / every, rel=1e-9)
+    assert all(v == pytest.approx(0) for g, v in got.items() if len(g) > 1)
+
+
 @pytest.mark.parametrize("local", [True, False])
 def test_eigenvector_of_a_triangle(spark, local):
     nodes = spark.createDataFrame([(x,) for x in "abc"], "gene string")
