@@ -24,16 +24,21 @@ def pr_points(scored: DataFrame) -> DataFrame:
     return curve(scored).select("score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide("tp", "pos").alias("recall"))
 
 
+def areas(scored: DataFrame) -> DataFrame:
+    """One row: auroc and average_precision, from one curve."""
+    half = F.sum(F.col("_f") * (F.col("tp") - F.col("_p") / 2))
+    steps = F.sum(F.col("_p") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    return curve(scored).agg(F.try_divide(half, F.first("pos") * F.first("neg")).alias("auroc"), F.try_divide(steps, F.first("pos")).alias("average_precision"))
+
+
 def auroc(scored: DataFrame) -> DataFrame:
     """One row: the share of (positive, negative) pairs in order, ties counted half; null without both classes."""
-    c = curve(scored)
-    half = F.sum(F.col("_f") * (F.col("tp") - F.col("_p") / 2))
-    return c.agg(F.try_divide(half, F.first("pos") * F.first("neg")).alias("auroc"))
+    return areas(scored).select("auroc")
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
     """One row: sum of recall steps times precision; null without positives."""
-    return curve(scored).agg(F.try_divide(F.sum(F.col("_p") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.first("pos")).alias("average_precision"))
+    return areas(scored).select("average_precision")
 
 
 def confusion(scored: DataFrame, threshold: float | Column = 0.5) -> DataFrame:

@@ -15,15 +15,17 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.durable import cut
-from tessera.operators import features, metrics
+from tessera.durable import cut, release
+from tessera.operators import binned, features, metrics
+from tessera.operators.binned import NODE
+from tessera.operators.binned import vote as _vote
 
 #: Rows that the array-based models (extra trees, oversampling) take from a training table; a larger one is refused.
 LOCAL_ROWS = 200_000
 #: Training rows of a part in cross-validation, and of the folds that are worked on side by side.
 PART_ROWS, TOGETHER = 20_000, 200_000
 #: Folds worked on side by side, at most: each holds its jobs, forests and broadcasts on the driver.
-FOLDS_TOGETHER = 2
+FOLDS_TOGETHER = 1
 
 
 def assemble(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -73,8 +75,6 @@ class Model:
         return {c: abs(float(v)) for c, v in zip(self.columns, values.toArray(), strict=True)}
 
 
-#: A node of a tree, 14 bytes: feature (-1 in a leaf), number of its left child (the right one is next), threshold or probability.
-NODE = np.dtype([("feature", "<i2"), ("left", "<i4"), ("value", "<f8")])
 #: Bytes of trees that the driver holds and sends to the tasks at once.
 SHARE = 32_000_000
 
@@ -125,17 +125,6 @@ def _grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, rng: np.random.Generator,
     return np.concatenate(levels)
 
 
-def _vote(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The probability of the leaf of each row."""
-    feature, left, value = (np.ascontiguousarray(tree[c]) for c in ("feature", "left", "value"))
-    at, live = np.zeros(len(x), np.int64), np.arange(len(x))
-    while len(live):
-        live = live[feature[at[live]] >= 0]
-        here = at[live]
-        at[live] = left[here] + (x[live, feature[here]] > value[here])
-    return value[at]
-
-
 def _votes(held):
     """Column form: the sum of the votes of the trees that are broadcast."""
 
@@ -147,6 +136,18 @@ def _votes(held):
     return votes
 
 
+def _table(train: DataFrame, columns: list[str]) -> np.ndarray:
+    """label, weight and the columns of training rows, up to LOCAL_ROWS, in the order of genes."""
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for i, pdf in enumerate(batches):
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "i": [i], "rows": [np.ascontiguousarray(pdf.to_numpy(float)).tobytes()]})
+
+    sorted_rows = with_weights(train).orderBy("gene").select("label", "weight", *columns)
+    parts = sorted(sorted_rows.mapInPandas(packed, "part int, i int, rows binary").collect(), key=lambda r: (r.part, r.i))
+    return np.frombuffer(b"".join(r.rows for r in parts)).reshape(-1, len(columns) + 2)
+
+
 class ExtraTrees:
     """Extremely randomised trees on balanced weights: one task grows each share of the trees from a broadcast table.
 
@@ -159,16 +160,8 @@ class ExtraTrees:
     def fit(self, train: DataFrame, columns: list[str]) -> ExtraTreesModel:
         if (n := train.count()) > LOCAL_ROWS:
             raise ValueError(f"extra trees take up to {LOCAL_ROWS} training rows, not {n}")
-        spark, depth, seed, wide = train.sparkSession, self.most_depth, self.seed, len(columns) + 2
-
-        def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for i, pdf in enumerate(batches):
-                yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "i": [i], "rows": [np.ascontiguousarray(pdf.to_numpy(float)).tobytes()]})
-
-        sorted_rows = with_weights(train).orderBy("gene").select("label", "weight", *columns)
-        parts = sorted(sorted_rows.mapInPandas(packed, "part int, i int, rows binary").collect(), key=lambda r: (r.part, r.i))  # up to LOCAL_ROWS rows
-        table = np.frombuffer(b"".join(r.rows for r in parts)).reshape(-1, wide)
-        del parts
+        spark, depth, seed = train.sparkSession, self.most_depth, self.seed
+        table = _table(train, columns)
         shared = spark.sparkContext.broadcast(table)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,7 +206,11 @@ class ExtraTreesModel:
             if k + 1 < len(shares):
                 rows = cut(rows)
                 held.destroy()
-        return rows.select(*keep, (F.col("_total") / n).alias("score"))
+        return rows.select(*keep, self._score(F.col("_total"), n).alias("score"))
+
+    @staticmethod
+    def _score(total, n: int):
+        return total / n
 
     def importance(self) -> dict[str, float]:
         """Share of splits that use each feature."""
@@ -221,6 +218,14 @@ class ExtraTreesModel:
         return {c: (v or 0) / max(sum(x or 0 for x in used), 1) for c, v in zip(self.columns, used, strict=True)}
 
 
+class BoostedModel(ExtraTreesModel):
+    """Trees whose votes add up to half the log odds of class 1."""
+
+    @staticmethod
+    def _score(total, n: int):
+        return 1 / (1 + F.exp(-2 * total))
+
+
 def _summed(rows: DataFrame, part, size: int) -> np.ndarray:
     """The sum of part(x, y, w), arrays of `size` numbers, over all rows: inside the tasks, then in 16 groups of them."""
 
@@ -376,6 +381,55 @@ def _compact(train: DataFrame) -> tuple[DataFrame, int]:
     return train.coalesce(max(1, -(-n // PART_ROWS))), n
 
 
+def _arrays_do(estimator) -> bool:
+    """Whether the estimator is a forest or boosting with settings that tessera.operators.binned has."""
+    if not isinstance(estimator, RandomForestClassifier | GBTClassifier) or not estimator.isDefined("weightCol") or estimator.getWeightCol() != "weight":
+        return False
+    plain = estimator.getMinInstancesPerNode() == 1 and estimator.getMinInfoGain() == 0 and estimator.getMinWeightFractionPerNode() == 0
+    drawn = estimator.getFeatureSubsetStrategy() in ("sqrt", "all")
+    if isinstance(estimator, RandomForestClassifier):
+        return plain and drawn and estimator.getImpurity() == "gini"
+    return plain and drawn and not estimator.isDefined("validationIndicatorCol")
+
+
+def fit_fold(model, train: DataFrame, n: int, columns: list[str]):
+    """Fit a model for scoring only. Forests and boosting over up to LOCAL_ROWS rows are grown from arrays, in tasks, since Spark ML
+    takes a job for each level of each round; the same definitions hold, so beyond Spark ML grows them."""
+    e = getattr(model, "estimator", None)
+    if n > LOCAL_ROWS or getattr(model, "scaled", False) or not _arrays_do(e) or train.filter(F.col("label") == 1).count() in (0, n):
+        return model.fit(train, columns)
+    spark, table = train.sparkSession, _table(train, columns)
+    tries = int(np.ceil(np.sqrt(len(columns)))) if e.getFeatureSubsetStrategy() == "sqrt" else len(columns)
+    depth, seed, bins, rate = e.getMaxDepth(), e.getSeed() % 2**63, e.getMaxBins(), e.getSubsamplingRate()
+    shape = "tree long, size long, used array<long>, nodes binary"
+    row = lambda k, t: {"tree": k, "size": t.nbytes, "used": np.bincount(t["feature"][t["feature"] >= 0], minlength=len(columns)).tolist(), "nodes": t.tobytes()}
+    if isinstance(e, RandomForestClassifier):
+        again, trees = e.getBootstrap(), e.getNumTrees()
+        shared = spark.sparkContext.broadcast((binned.Table(table[:, 2:], table[:, 1], bins), table[:, 0].copy(), table[:, 1].copy()))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            cut_up, y, w = shared.value
+            for batch in batches:
+                for k in batch["id"].tolist():
+                    yield pd.DataFrame([row(k, binned.forest_tree(cut_up, y, w, tries, depth, rate, again, np.random.default_rng([seed, k])))])
+
+        grown = cut(spark.range(trees).repartition(min(trees, 64)).mapInPandas(run, shape))
+        shared.destroy()
+        return ExtraTreesModel(grown, columns)
+    rounds, step = e.getMaxIter(), e.getStepSize()
+    shared = spark.sparkContext.broadcast(table)
+
+    def boost(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                y, w, x = shared.value[:, 0].copy(), shared.value[:, 1].copy(), shared.value[:, 2:]
+                yield pd.DataFrame([row(k, t) for k, t in enumerate(binned.boosted(x, y, w, rounds, step, tries, depth, rate, bins, seed))])
+
+    grown = cut(spark.range(0, 1, 1, 1).mapInPandas(boost, shape))
+    shared.destroy()
+    return BoostedModel(grown, columns)
+
+
 def cross_validate(df: DataFrame, columns: list[str], chosen: dict[str, object], undersample: bool = True, oversample: bool = False, seed: int = 42) -> DataFrame:
     """model, cv_fold, auroc, auprc, f1, mcc of each model and fold; df has cv_fold. Resampling touches training folds only.
 
@@ -392,11 +446,12 @@ def cross_validate(df: DataFrame, columns: list[str], chosen: dict[str, object],
     def one(fold: int) -> dict[str, tuple]:
         found = {}
         for name, model in chosen.items():
-            scored = model.fit(trains[fold][0], columns).score(df.filter(F.col("cv_fold") == fold)).cache()
+            scored = fit_fold(model, *trains[fold], columns).score(df.filter(F.col("cv_fold") == fold)).cache()
             half = metrics.ratios(metrics.confusion(scored)).select("f1", "mcc")
-            row = metrics.auroc(scored).crossJoin(metrics.average_precision(scored).withColumnRenamed("average_precision", "auprc")).crossJoin(half)
+            row = metrics.areas(scored).withColumnRenamed("average_precision", "auprc").crossJoin(half)
             found[name] = row.select(F.lit(name).alias("model"), F.lit(fold).alias("cv_fold"), "auroc", "auprc", "f1", "mcc").first()
             scored.unpersist()
+            release(df.sparkSession)
         return found
 
     most = max((n for _, n in trains.values()), default=1)
